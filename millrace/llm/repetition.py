@@ -65,8 +65,9 @@ def measure(body: bytes | None) -> tuple:
             n_repeat = int(covered.sum())
             # only words that a duplicated triple covers can lie in a longer duplicated window
             sizes = np.array([len(w.translate(None, _NOT_COUNTED)) for w in words])
-            powers = np.cumprod(np.concatenate([[1], np.full(n, _BASE, np.uint64)]).astype(np.uint64))
-            back = np.cumprod(np.concatenate([[1], np.full(n, _BACK, np.uint64)]).astype(np.uint64))
+            one = np.ones(1, np.uint64)
+            powers = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]))
+            back = np.cumprod(np.concatenate([one, np.full(n, _BACK, np.uint64)]))
             mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
             prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[:n], dtype=np.uint64)])
