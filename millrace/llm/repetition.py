@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import id_and_text, map_rows
 
-#: Largest share of word characters inside duplicated n-grams of each length, and of line characters in repeated lines.
-NGRAM_SHARES = {5: 0.15, 7: 0.13, 9: 0.11}
+#: Largest share of word characters inside n-grams that stood earlier in the text, for each length, and of line
+#: characters in lines that stood earlier.
+NGRAM_SHARES = {5: 0.30, 7: 0.30, 9: 0.30}
 LINE_SHARE = 0.30
 SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
@@ -21,15 +22,16 @@ _BACK = pow(_BASE, -1, 1 << 64)
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_share double, dup_line_share double"
 
 
-def _covered(windows: np.ndarray, width: int, n: int) -> np.ndarray | None:
-    """Which of n words lie in a window whose value occurs twice or more; None if no window does."""
+def _covered(windows: np.ndarray, width: int, n: int, first: bool) -> np.ndarray | None:
+    """Which of n words lie in a window that stood earlier (first: or stands again later); None if no window does."""
     order = np.argsort(windows, kind="stable")
     same = windows[order[1:]] == windows[order[:-1]]
     if not same.any():
         return None
     twice = np.zeros(len(windows) + 1, bool)
     twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if first:
+        twice[order[:-1][same]] = True
     edge = np.zeros(n + 1, np.int64)
     at = np.nonzero(twice)[0]
     np.add.at(edge, at, 1)
@@ -60,7 +62,7 @@ def measure(body: bytes | None) -> tuple:
     ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
     n, n_repeat, shares = len(words), 0, dict.fromkeys(NGRAM_SHARES, 0.0)
     if n > 3 and len(known) < n:
-        covered = _covered(_triples(ids, len(known)), 3, n)
+        covered = _covered(_triples(ids, len(known)), 3, n, True)
         if covered is not None:
             n_repeat = int(covered.sum())
             # only words that a duplicated triple covers can lie in a longer duplicated window
@@ -74,7 +76,7 @@ def measure(body: bytes | None) -> tuple:
             for width in NGRAM_SHARES:
                 if n > width:
                     windows = (prefix[width:] - prefix[:-width]) * back[: n - width + 1]
-                    inside = _covered(windows, width, n)
+                    inside = _covered(windows, width, n, False)
                     if inside is None:
                         break  # longer windows cannot repeat either
                     shares[width] = float(sizes[inside].sum() / max(1, word_chars))
