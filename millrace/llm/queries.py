@@ -10,6 +10,7 @@ from millrace.llm import (
     line_dedup,
     mixing,
     mph_dedup,
+    ngram_trie,
     repetition,
     simhash,
 )
@@ -55,6 +56,10 @@ def op6_bm25_packing(spark, sf_dir):
     return bm25_pack.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_trie(spark, sf_dir):
+    return ngram_trie.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
