@@ -344,7 +344,7 @@ def score(df: DataFrame, id_col="doc_id", text_col="text", modulus: int = 7, rem
             for row in _deal_chunk(chunk, number + k, hot, shards):
                 yield _record([row])
 
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:  # a batch's header goes on as it is
             parts = [_record([(HEADER, b, 0, 0, x) for b, x in zip(table["a"].to_pylist(), table["blob"].to_pylist())])]
         else:
