@@ -7,7 +7,7 @@ probability where training lacks the context). Sums over words stay at most 1.
 Every batch of documents deals its (context, word, document) counts to shards by the context's hash, the pairs of
 very frequent contexts also by the word's, so no shard is larger than its share. A shard builds its part of the
 trie from the training counts: an Elias-Fano level of contexts, a level of monotone pointers and a level of
-successors relative to their context, each with a one-byte quantised probability, in a memory-mapped file; then it
+successors relative to their context, each with a two-byte quantised probability, in a memory-mapped file; then it
 answers the pairs of all documents by successor search and returns sums for each document. So nothing grows on
 one machine, and all traffic is in proportion to the text.
 """
@@ -33,8 +33,8 @@ ROWS = "kind int, key long, a long, b long, blob binary"
 HEADER, PARTIAL, UNSEEN, WORD, HOT, DISTINCT = range(6)
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-#: Quantised numerators c - D: exact up to 128 occurrences, then rounded down to one of 127 steps.
-_STEPS = np.unique(np.concatenate([np.arange(1, 129), np.floor(128 * 1.25 ** np.arange(1, 128))]))[:255]
+#: Quantised numerators c - D in two bytes: exact up to 4096 occurrences, then rounded down by less than 0.05 %.
+_STEPS = np.unique(np.concatenate([np.arange(1, 4097), np.floor(4096 * 1.0005 ** np.arange(1, 60000))]))
 _LOGS = np.log10(_STEPS - DISCOUNT)
 
 
@@ -117,7 +117,7 @@ class Trie:
         self.contexts = EliasFano(names, 1 << 64).to_file(self.file)
         self.pointers = EliasFano(starts, max(1, len(context) + 1)).to_file(self.file)
         self.successors = EliasFano((rank << np.uint64(40)) | word, max(1, len(names)) << 40).to_file(self.file)
-        self.code = (np.searchsorted(_STEPS, count, side="right") - 1).astype(np.uint8)
+        self.code = (np.searchsorted(_STEPS, count, side="right") - 1).astype(np.uint16)
 
     def log_numerator(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10(c - D) of each pair, NaN where training lacks it."""
