@@ -25,7 +25,7 @@ from millrace.llm.common import held_out, id_and_text, store
 
 DISCOUNT = 0.75
 #: UTF-8 bytes of text for each shard; bytes and documents of a batch; share from which a context counts as frequent.
-SHARD_BYTES, BATCH_BYTES, BATCH_DOCS, FREQUENT = 24 << 20, 16 << 20, 16384, 1e-3
+SHARD_BYTES, BATCH_BYTES, BATCH_DOCS, FREQUENT = 8 << 20, 12 << 20, 16384, 1e-3
 _START, _END = 0x1234567812345678, 0x8765432187654321
 _SHORT = np.uint64(24)  # a successor is known within its context by the high 40 bits of its hash
 _HELD = 1 << 15
