@@ -80,8 +80,10 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Da
     Prefix filter: of a set's shingles in a fixed order, two similar sets share one of the first
     n - ceil(threshold * n) + 1, so only those are joined.
     """
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
+    # explode keeps the optimizer from moving the word split into the lambda, where it would run for every shingle
+    tokens = docs.select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
     sets = tokens.select("doc_id", F.array_sort(F.transform(shingles(F.col("w"), width), lambda s: F.xxhash64(s))).alias("s"))
+    sets = sets.select("doc_id", F.explode(F.array("s")).alias("s"))
     sets = first_per_key(sets.withColumn("h", F.hash("s")), ["h", "s"], "doc_id").drop("h")
     size = F.size("s")
     keep = size - F.ceil(size * threshold).cast("int") + 1

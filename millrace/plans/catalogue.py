@@ -32,10 +32,10 @@ def _u(*parts):
 
 _SPLIT = f"CASE WHEN {_u(repr('split'), 'doc_id')} < 0.05 THEN 'test' WHEN {_u(repr('split'), 'doc_id')} < 0.1 THEN 'val' ELSE 'train' END"
 _CLEAN = r"""(length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) > length(text) * 0.72
-  AND len(list_filter(ls, x -> length(x) < 40)) < len(ls) * 0.4 AND len(regexp_extract_all(text, 'http')) < 2
+  AND len(list_filter(ls, lambda x: length(x) < 40)) < len(ls) * 0.4 AND len(regexp_extract_all(text, 'http')) < 2
   AND NOT contains(text, '|') AND len(regexp_extract_all(text, '\S+')) >= len(ls) * 12.0 AND len(ls) > 0)"""
 _REASONS = f"""base AS (SELECT *, {_CLEAN} AS clean FROM (SELECT doc_id, source, text, {_SPLIT} AS split, sha1(lower(trim(text, ' '))) AS k,
-    list_filter(string_split(text, chr(10)), x -> length(trim(x, ' ')) > 0) AS ls FROM documents) t),
+    list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0) AS ls FROM documents) t),
   ranked AS (SELECT *, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS r FROM base),
   marked AS (SELECT *, min(r) OVER (PARTITION BY k) AS f, row_number() OVER (PARTITION BY k, split ORDER BY doc_id) AS n FROM ranked),
   reasons AS (SELECT doc_id, source, split, CASE WHEN f < r THEN 'leak' WHEN n > 1 THEN 'duplicate' WHEN NOT clean THEN 'not_prose' END AS reason FROM marked)"""
@@ -140,7 +140,7 @@ def benchmark_leaks(t):
     cut = lambda x: F.split(x, r"\s+")
     items = t("benchmark").select("item_id", F.col("text").alias("item"), cut(F.col("text")).alias("w"))
     items = items.select("item_id", "item", F.size("w").alias("n"), key(F.col("w"), F.lit(2)).alias("k"))
-    docs = t("documents").select("doc_id", "text", cut(F.col("text")).alias("w")).where(F.size("w") >= 9)
+    docs = t("documents").select("doc_id", "text", F.explode(F.array(cut(F.col("text")))).alias("w")).where(F.size("w") >= 9)
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: key(F.col("w"), i)))).alias("k"))
     near = grams.join(items.where("n >= 10"), "k").select("doc_id", "item_id", "item")
     near = near.unionByName(docs.crossJoin(F.broadcast(items.where("n < 10"))).select("doc_id", "item_id", "item"))
@@ -149,7 +149,7 @@ def benchmark_leaks(t):
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-  s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+  s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
   f AS (SELECT min(doc_id) AS doc_id, s, len(s) AS n FROM s GROUP BY s), e AS (SELECT doc_id, n, unnest(s) AS k FROM f),
   p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL)
   SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.8""")
