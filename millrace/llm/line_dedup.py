@@ -66,7 +66,7 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     """lines (k1, ord, line), distinct: (earlier, later) k1 of every pair within one edit."""
     long_enough = lines.where(F.length("line") >= NEAR_CHARS)
     n = F.length("line")
-    variants = long_enough.select("k1", F.explode(_variants(F.col("line"), n)).alias("v"))
+    variants = store(long_enough.select("k1", F.explode(_variants(F.col("line"), n)).alias("v")), "all-variants")
     meeting = store(_shared(variants, "v"), "variants")
     a, b = meeting.select(F.col("k1").alias("ka"), "v"), meeting.select(F.col("k1").alias("kb"), "v")
     pairs = a.join(b, "v").where("ka < kb").select("ka", "kb").distinct()
