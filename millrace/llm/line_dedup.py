@@ -17,6 +17,8 @@ from millrace.llm.common import store
 
 NEAR_CHARS = 20
 _NO_ID = -(1 << 63)
+#: Documents and line places up to which a list of places is broadcast (about 20 MB); beyond, texts are shuffled.
+BROADCAST_DOCS, BROADCAST_PLACES = 200_000, 2_000_000
 
 
 def _doc_key(id_col: str, text_col: str) -> list[Column]:
@@ -62,6 +64,13 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(many, key, "left_semi")
 
 
+def _places(rows: DataFrame, column: str) -> DataFrame:
+    """A written list of places for each document, to be broadcast if its counted size allows it."""
+    held = store(rows, column)
+    n, places = held.agg(F.count("*"), F.sum(F.size(column))).first()
+    return F.broadcast(held) if n <= BROADCAST_DOCS and (places or 0) <= BROADCAST_PLACES else held
+
+
 def near_pairs(lines: DataFrame) -> DataFrame:
     """lines (k1, ord, line), distinct: (earlier, later) k1 of every pair within one edit."""
     long_enough = lines.where(F.length("line") >= NEAR_CHARS)
@@ -99,10 +108,11 @@ def removed_lines(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     )
     halves = firsts.where("halves is not null").select("k1", F.explode("halves").alias("half"))
     candidates = _shared(halves, "half").select("k1").distinct()
-    places = (
+    places = _places(
         firsts.join(candidates, "k1", "left_semi")
         .groupBy(F.col("ord.__id").alias("__id"), F.col("ord.__th").alias("__th"))
-        .agg(F.collect_list("ord.pos").alias("at"))
+        .agg(F.collect_list("ord.pos").alias("at")),
+        "at",
     )
     found = docs.join(places, ["__id", "__th"]).select("__id", "__th", _pieces(F.col("__text")).alias("p"), "at")
     found = found.dropDuplicates(["__id", "__th"]).select("__id", "__th", "p", F.explode("at").alias("pos"))
@@ -115,7 +125,7 @@ def removed_lines(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     near = near_pairs(texts).select(F.col("later").alias("k1"), F.lit(True).alias("near")).distinct()
     verdict = firsts.select("k1", "k2", "ord", "n").join(near, "k1", "left").where("n > 1 or near")
     gone = keyed.select("k1", "k2", "__id", "__th", "pos").join(verdict, ["k1", "k2"]).where(F.col("near") | (place != F.col("ord")))
-    return gone.groupBy("__id", "__th").agg(F.collect_set("pos").alias("gone"))
+    return _places(gone.groupBy("__id", "__th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
 def dedup_lines(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
