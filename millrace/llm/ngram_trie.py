@@ -25,7 +25,7 @@ from millrace.llm.common import held_out, id_and_text, store
 
 DISCOUNT = 0.75
 #: UTF-8 bytes of text for each shard; bytes and documents of a batch; share from which a context counts as frequent.
-SHARD_BYTES, BATCH_BYTES, BATCH_DOCS, FREQUENT = 8 << 20, 12 << 20, 16384, 1e-3
+SHARD_BYTES, BATCH_BYTES, BATCH_DOCS, FREQUENT = 6 << 20, 8 << 20, 16384, 1e-3
 _START, _END = 0x1234567812345678, 0x8765432187654321
 _SHORT = np.uint64(24)  # a successor is known within its context by the high 40 bits of its hash
 _HELD = 1 << 15
@@ -171,7 +171,8 @@ def frequent_words(rows: DataFrame) -> tuple[np.ndarray, int]:
                 names=["word", "n", "n_bytes"],
             )
 
-    found = rows.mapInArrow(count, "word binary, n long, n_bytes long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("b"))
+    counts = rows.mapInArrow(count, "word binary, n long, n_bytes long").groupBy("word")
+    found = store(counts.agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("b")), "frequent")
     total = found.where(F.octet_length("word") == 0).first()
     if total is None:
         return np.zeros(0, np.uint64), 0
