@@ -20,7 +20,7 @@ from millrace.llm.common import id_and_text
 WINDOW = 1024
 TERMS = 1 << 18
 #: UTF-8 bytes that a shard should hold; terms of a seed that are looked up; neighbours asked for at once.
-SHARD_BYTES, QUERY_TERMS, NEIGHBOURS = 8 << 20, 32, 24
+SHARD_BYTES, QUERY_TERMS, NEIGHBOURS = 8 << 20, 16, 24
 K1, B = 1.2, 0.75
 #: Words whose ids are remembered before the memory starts anew.
 CACHE = 400_000
@@ -86,9 +86,9 @@ def statistics(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
         df, docs, n_words, n_bytes = np.zeros(TERMS, np.int64), 0, 0, 0
         for batch in batches:
             for body in batch.column(1).to_pylist():
-                terms, times = terms_of(body or b"")
-                df[terms] += 1
-                docs, n_words, n_bytes = docs + 1, n_words + int(times.sum()), n_bytes + len(body or b"")
+                words = (body or b"").lower().split()
+                df[list({zlib.crc32(w) & (TERMS - 1) for w in set(words)})] += 1
+                docs, n_words, n_bytes = docs + 1, n_words + len(words), n_bytes + len(body or b"")
         blocks = [df[at : at + step].tobytes() for at in range(0, TERMS, step)]
         blocks.append(np.array([docs, n_words, n_bytes], np.int64).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])

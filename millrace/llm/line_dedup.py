@@ -135,19 +135,19 @@ def dedup_lines(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     place, so both keep their first lines; null ids come before all others.
     """
     names = df.columns
-    gone = removed_lines(df, id_col, text_col)
+    gone = removed_lines(df, id_col, text_col).withColumnRenamed("gone", "__places")
     parts = _pieces(F.col(f"`{text_col}`"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__places"))
     rebuilt = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     joined = df.select("*", *_doc_key(id_col, text_col)).join(gone, ["__id", "__th"], "left")
     filled = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return joined.select(
         *[
-            F.when(F.col("gone").isNull(), F.col(f"`{c}`")).otherwise(rebuilt).alias(c) if c == text_col else F.col(f"`{c}`")
+            F.when(F.col("__places").isNull(), F.col(f"`{c}`")).otherwise(rebuilt).alias(c) if c == text_col else F.col(f"`{c}`")
             for c in names
         ],
         F.coalesce(F.when(F.col(f"`{text_col}`").isNotNull(), filled), F.lit(0)).alias("__lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("__gone"),
+        F.coalesce(F.size("__places"), F.lit(0)).alias("__gone"),
     )
 
 
