@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from millrace.operators.build import greedy_keep
+from millrace.plans import examples  # noqa: F401  adds to the catalogue
 from millrace.plans.catalogue import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
