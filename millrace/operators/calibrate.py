@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GOLDEN = (math.sqrt(5) - 1) / 2
-
 
 def negative_log_likelihood(logits: Column, gold: Column, temperature) -> Column:
     """Of the gold place (from 0) of an array of logits divided by a temperature."""
@@ -20,9 +18,9 @@ def negative_log_likelihood(logits: Column, gold: Column, temperature) -> Column
 
 
 def fit_temperature(rows: DataFrame, logits: str, gold: str, low=0.05, high=20.0, tolerance=0.01) -> float:
-    """The temperature of least mean loss, by a golden-section search on its logarithm.
+    """The temperature of least mean loss, by narrowing a bracket of its logarithm (the mean loss has one valley there).
 
-    Every pass is one aggregate over all rows that prices several trial values at once; only means reach the driver.
+    Every pass is one aggregate over all rows that prices seven trial values at once; only means reach the driver.
     """
 
     def losses(trials: list[float]) -> list[float]:
