@@ -8,6 +8,7 @@ lengths are powers of two, so nothing is padded.
 """
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -27,6 +28,7 @@ CACHE = 400_000
 #: Fixed value: the pattern that cuts a text before byte-pair merging in this public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SPACES = re.compile(r" \s")
 _loaded: dict = {}
 
 
@@ -41,7 +43,7 @@ def encoder(name: str):
     """text -> uint16 token ids, as tokenizers gives them for the vocabulary file name.
 
     A single space before a word always starts a new piece in that vocabulary, so words are encoded one by one
-    and remembered; texts with runs of spaces are encoded whole.
+    and remembered; texts where white space follows a space are encoded whole.
     """
     if name not in _loaded:
         import public_tokenizers
@@ -55,7 +57,7 @@ def encoder(name: str):
     whole, known = _loaded[name]
 
     def encode(text: str) -> np.ndarray:
-        if "  " in text:
+        if SPACES.search(text):
             return np.array(whole.encode_ordinary(text), np.uint16)
         out, spaced = [], ""
         if len(known) > CACHE:

@@ -170,7 +170,7 @@ def test_tokens_equal_the_vocabularys_own(plain):
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = bm25_pack.encoder("byte_bpe_50k.json")
-    for text in [t or "" for _, t in plain] + ["a  b", " x\n y\t z ", "it's 12 ,, é  b", "\n\n q"]:
+    for text in [t or "" for _, t in plain] + ["a  b", " x\n y\t z ", "it's 12 ,, é  b", "\n\n q", "a b.\nc 'd\n", "a\tb \tc\n", "\u00a0b \u00a0c\n\x1cd ", "a b ", "\nq", " "]:
         assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
