@@ -10,6 +10,7 @@ lengths are powers of two, so nothing is padded.
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,16 +60,14 @@ def encoder(name: str):
     def encode(text: str) -> np.ndarray:
         if SPACES.search(text):
             return np.array(whole.encode_ordinary(text), np.uint16)
-        out, spaced = [], ""
         if len(known) > CACHE:
             known.clear()
-        for word in text.split(" "):
-            word = spaced + word
-            spaced = " "
-            got = known.get(word)
-            if got is None:
-                known[word] = got = np.array(whole.encode_ordinary(word), np.uint16).tobytes()
-            out.append(got)
+        words = text.split(" ")
+        out = [known.get(word) for word in words]  # each with the space before it
+        for k, word in enumerate(words):
+            if out[k] is None:
+                known[word] = out[k] = array("H", whole.encode_ordinary(" " + word)).tobytes()
+        out[0] = array("H", whole.encode_ordinary(words[0])).tobytes()
         return np.frombuffer(b"".join(out), np.uint16)
 
     return encode
