@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
+from millrace.operators import judged
 from millrace.operators.build import greedy_keep
 from millrace.plans import examples  # noqa: F401  adds to the catalogue
+from millrace.plans import judged as judged_plans  # noqa: F401  adds to the catalogue
 from millrace.plans.catalogue import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +43,19 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_records_of_other_systems(spark):
+    rows = spark.createDataFrame([("x", 2.0), ("nonsense", None), (None, 0.4)], "said string, sure double")
+    p = judged.verbalised(rows["said"], rows["sure"], ["x", "y", "__NULL__"])
+    got = [tuple(r) for r in rows.select(p["x"], p["__NULL__"], p["decision"]).collect()]
+    assert got == [(1.0, 0.0, "x"), (0.25, 0.5, "__NULL__"), (0.3, 0.4, "__NULL__")]
+    rows = spark.createDataFrame([(0.9, 0.2), (0.3, 0.1), (0.4, 0.2), (0.6, 0.6), (0.0, 0.0)], "x double, y double")
+    p = judged.zero_shot({"x": rows["x"], "y": rows["y"]})
+    assert [r[0] for r in rows.select(p["decision"]).collect()] == ["x", "__NULL__", "__NULL__", "x", "__NULL__"]
+
+
+def test_overlap_rule_needs_one_best_option(spark):
+    options = [(1, 0.5, True), (1, 0.2, False), (2, 0.5, True), (2, 0.5, False), (3, 0.0, True), (3, 0.0, False), (4, 0.1, True), (4, 0.3, False)]
+    got = judged.overlap_rule(spark.createDataFrame(options, "q int, share double, gold boolean"), "q", "share", "gold").first()
+    assert tuple(got) == (4, 3, pytest.approx(1 / 3, abs=1e-6), 0.5, pytest.approx(-1 / 6, abs=1e-6))
