@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import id_and_text, map_rows, store
@@ -209,22 +208,3 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", width: int
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
-
-
-def keep_one_of_each(df: DataFrame, id_col="doc_id", text_col="text", width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of df without near-duplicates: of each group the one with the least id, once. Columns stay.
-
-    Rows with a null id cannot be told apart by their decision, so they stay.
-    """
-    found = near_duplicates(df, id_col, text_col, width, radius)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    once = W.partitionBy("__id").orderBy(F.lit(0))
-    kept = (
-        df.where(F.col(id_col).isNotNull())
-        .withColumn("__id", F.col(id_col).cast("long"))
-        .join(stays, "__id")
-        .withColumn("__n", F.row_number().over(once))
-        .where("__n = 1")
-        .select(*df.columns)
-    )
-    return kept.unionAll(df.where(F.col(id_col).isNull()))
