@@ -1,10 +1,12 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index fills each seed's window with unused neighbours.
 
-Documents are dealt to shards of bounded size by a hash. Document frequencies and the mean length are counted
-over the whole corpus first (words hashed to a fixed number of terms, so the table has a fixed size). In a shard,
-the next unused document opens a window; BM25 over its rarest terms ranks the unused ones, which follow until the
-window is full. What does not fit goes on in the next window. A shard's last tokens become sequences whose
-lengths are powers of two, so nothing is padded.
+Document frequencies and the mean length are counted over the whole corpus first (words hashed to a fixed number
+of terms, so the table has a fixed size). Documents are dealt to shards of bounded size by a hash; a shard is a row
+of a written table with its postings. Chains of windows grow side by side in rounds: each chain's seed is asked of
+every shard, the answers are merged, and the best unused documents follow until the window is full; a chain that
+has used up its answers asks again. What does not fit goes on in the next window, whose seed it is. A chain without
+a neighbour goes on with the next unused document. Its last tokens become sequences whose lengths are powers of
+two, so nothing is padded.
 """
 
 import json
@@ -15,15 +17,18 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_and_text
+from millrace.llm.common import id_and_text, store
 
 WINDOW = 1024
 TERMS = 1 << 18
-#: UTF-8 bytes that a shard should hold; terms of a seed that are looked up; neighbours asked for at once.
+#: UTF-8 bytes that a shard should hold; terms of a seed that are looked up; neighbours that one answer holds.
 SHARD_BYTES, QUERY_TERMS, NEIGHBOURS = 8 << 20, 16, 24
 K1, B = 1.2, 0.75
+#: Chains that grow side by side at most, and windows that a chain should have.
+CHAINS, CHAIN_WINDOWS = 4096, 16
 #: Words whose ids are remembered before the memory starts anew.
 CACHE = 400_000
 #: Fixed value: the pattern that cuts a text before byte-pair merging in this public vocabulary.
@@ -107,111 +112,195 @@ def statistics(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
     return np.concatenate([blocks[k] for k in range(last)]), *map(int, blocks[last])
 
 
-class Index:
-    """BM25 postings of a shard: term -> documents and their weights."""
-
-    def __init__(self, bodies: list[bytes], idf: np.ndarray, mean_words: float):
-        found = [terms_of(b) for b in bodies]
-        sizes = np.array([len(t) for t, _ in found], np.int64)
-        term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
-        times = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(bodies)), sizes)
-        long = np.array([c.sum() for _, c in found])[doc] / max(mean_words, 1e-9)
-        weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * long))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.terms, self.first = np.unique(term[order], return_index=True)
-        self.first = np.append(self.first, len(order))
-        self.used = np.zeros(len(bodies), bool)
-        self.asks = []  # for each document its rarest terms that another document of the shard has too
-        several = np.diff(self.first) > 1
-        for terms, _ in found:
-            at = np.searchsorted(self.terms, terms)
-            at = at[several[at]]
-            if len(at) > QUERY_TERMS:
-                at = at[np.argsort(-idf[self.terms[at]], kind="stable")[:QUERY_TERMS]]
-            self.asks.append(at)
-
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused documents that share a term with the seed, the most similar first."""
-        spans = [(self.first[t], self.first[t + 1]) for t in self.asks[seed]]
-        if not spans:
-            return []
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        scores = np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), len(self.used))
-        scores[self.used] = 0
-        best = np.argpartition(-scores, min(NEIGHBOURS, len(scores) - 1))[:NEIGHBOURS]
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
-
-
-def pack_shard(ids: list, bodies: list[bytes], tokens: list[np.ndarray], index: Index):
-    """Yield (document, start, length, local sequence, offset)."""
-    n, sequence, filled, window = len(ids), 0, 0, []
-    fresh = 0
-    queue: list[int] = []
-    seed = -1
-    while True:
-        doc = next((d for d in queue if not index.used[d]), -1)
-        if doc < 0 and seed >= 0 and filled:
-            queue = index.neighbours(seed)
-            seed = -1
-            continue
-        if doc < 0:
-            while fresh < n and index.used[fresh]:
-                fresh += 1
-            if fresh == n:
-                break
-            doc = fresh
-        index.used[doc] = True
-        if not filled:
-            seed, queue = doc, []
-        at, size = 0, len(tokens[doc])
+def postings(bodies: list[bytes], idf: np.ndarray, mean_words: float) -> list[np.ndarray]:
+    """A shard's documents: where their terms start, their terms; its terms, where their postings start, documents, weights."""
+    found = [terms_of(b) for b in bodies]
+    at = np.cumsum([0] + [len(t) for t, _ in found])
+    term, times = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
+    doc = np.repeat(np.arange(len(bodies)), np.diff(at))
+    long = np.array([c.sum() for _, c in found])[doc] / max(mean_words, 1e-9)
+    weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * long))
+    order = np.argsort(term, kind="stable")
+    terms, first = np.unique(term[order], return_index=True)
+    kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.float32)
+    return [x.astype(k) for x, k in zip((at, term, terms, np.append(first, len(order)), doc[order], weight[order]), kinds)]
+
+
+def best_of(query: np.ndarray, terms: np.ndarray, first: np.ndarray, docs: np.ndarray, weights: np.ndarray, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unused documents of a shard with the highest BM25 for the query's terms, NEIGHBOURS at most, and their scores."""
+    at = np.searchsorted(terms, query)
+    at = at[(at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == query)] if len(terms) else at[:0]
+    if not len(at):
+        return at, at.astype(float)
+    spans = [slice(a, b) for a, b in zip(first[at], first[at + 1])]
+    scores = np.bincount(np.concatenate([docs[x] for x in spans]), np.concatenate([weights[x] for x in spans]), len(unused)) * unused
+    best = np.arange(len(scores))
+    if len(scores) > NEIGHBOURS:  # all that tie with the last one, so that the least documents win
+        best = np.nonzero(scores >= np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS])[0] if scores.any() else best[:0]
+    best = best[scores[best] > 0]
+    best = best[np.lexsort((best, -scores[best]))][:NEIGHBOURS]
+    return best, scores[best]
+
+
+def asked(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The terms of a seed that are looked up, ascending."""
+    return np.sort(terms[np.argsort(-idf[terms], kind="stable")[:QUERY_TERMS]])
+
+
+class Chain:
+    """Windows one after the other: pieces (document, start, length, sequence, offset)."""
+
+    def __init__(self, number: int):
+        self.sequence, self.filled, self.window, self.seed = number << 32, 0, [], -1
+
+    def place(self, doc: int, size: int, out: list) -> bool:
+        """Append a document; does it end a window?"""
+        at, ended = 0, False
+        if not self.filled:
+            self.seed = doc
         while at < size:
-            take = min(WINDOW - filled, size - at)
-            window.append((doc, at, take))
-            at, filled = at + take, filled + take
-            if filled == WINDOW:
+            take = min(WINDOW - self.filled, size - at)
+            self.window.append((doc, at, take))
+            at, self.filled = at + take, self.filled + take
+            if self.filled == WINDOW:
                 offset = 0
-                for d, s, length in window:
-                    yield d, s, length, sequence, offset
+                for d, s, length in self.window:
+                    out.append((d, s, length, self.sequence, offset))
                     offset += length
-                sequence, filled, window, seed, queue = sequence + 1, 0, [], doc, []
-    offset, room = 0, 1 << (filled.bit_length() - 1) if filled else 0
-    for d, s, length in window:  # lengths that are powers of two, the largest first
-        while length:
-            take = min(length, room - offset)
-            yield d, s, take, sequence, offset
-            s, length, offset = s + take, length - take, offset + take
-            if offset == room:
-                filled -= room
-                sequence, offset, room = sequence + 1, 0, 1 << (filled.bit_length() - 1) if filled else 0
+                self.sequence, self.filled, self.window, self.seed, ended = self.sequence + 1, 0, [], doc, True
+        return ended
+
+    def end(self, out: list) -> None:
+        """The rest, in sequences whose lengths are powers of two, the largest first."""
+        filled, sequence = self.filled, self.sequence
+        offset, room = 0, 1 << (filled.bit_length() - 1) if filled else 0
+        for d, s, length in self.window:
+            while length:
+                take = min(length, room - offset)
+                out.append((d, s, take, sequence, offset))
+                s, length, offset = s + take, length - take, offset + take
+                if offset == room:
+                    filled -= room
+                    sequence, offset, room = sequence + 1, 0, 1 << (filled.bit_length() - 1) if filled else 0
+        self.filled, self.window = 0, []
+
+
+def grow(sizes: np.ndarray, ask) -> list[tuple]:
+    """Pieces of all documents, given their tokens. ask(seeds, used) -> for each seed its best unused documents."""
+    out, used, fresh = [], np.zeros(len(sizes), bool), 0
+    chains = [Chain(k) for k in range(max(1, min(CHAINS, int(sizes.sum()) // (WINDOW * CHAIN_WINDOWS))))]
+    while chains:
+        answers = dict(zip((c for c in chains if c.filled), ask([c.seed for c in chains if c.filled], used)))
+        left = []
+        for chain in chains:
+            found = answers.get(chain, [])
+            for doc in found:
+                if not used[doc]:
+                    used[doc] = True
+                    if chain.place(doc, int(sizes[doc]), out):
+                        break
+            if not len(found):
+                while fresh < len(sizes) and used[fresh]:
+                    fresh += 1
+                if fresh == len(sizes):
+                    chain.end(out)
+                    continue
+                used[fresh] = True
+                chain.place(fresh, int(sizes[fresh]), out)
+                chain.seed = fresh
+            left.append(chain)
+        chains = left
+    return out
 
 
 def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_50k.json") -> DataFrame:
     """A row for each piece of every document. A null text is empty: its document is the end token alone.
 
-    Rows with equal ids are packed each for itself. sequence_id has the shard in its high 32 bits.
+    Rows with equal ids are packed each for itself. sequence_id has the chain in its high 32 bits.
     """
     rows = id_and_text(df, id_col, text_col)
+    spark = rows.sparkSession
+    context = spark.sparkContext
     frequency, docs, n_words, n_bytes = statistics(rows)
+    if not docs:
+        return spark.createDataFrame([], COLUMNS)
     idf = np.log1p((docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    mean_words, shards = n_words / max(1, docs), max(1, -(-n_bytes // SHARD_BYTES))
-    shared = rows.sparkSession.sparkContext.broadcast(idf)  # TERMS numbers, whatever the corpus
+    mean_words, shards = n_words / docs, max(1, -(-n_bytes // SHARD_BYTES))
+    shared = context.broadcast(idf)  # TERMS numbers, whatever the corpus
+    arrays = {"at": np.int64, "own": np.int32, "terms": np.int32, "first": np.int64, "docs": np.int32, "weights": np.float32}
 
-    def run(table: pa.Table) -> pa.Table:
+    def build(table: pa.Table) -> pa.Table:
         encode = encoder(vocabulary)
         given = sorted(zip(table["id"].to_pylist(), [b or b"" for b in table["body"].to_pylist()]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        ids, bodies = [r[0] for r in given], [r[1] for r in given]
-        tokens = [np.append(encode(b.decode("utf-8", "replace")), np.uint16(0)) for b in bodies]
-        shard = table["shard"][0].as_py() << 32
-        out: list[list] = [[] for _ in range(7)]
-        for doc, start, length, sequence, offset in pack_shard(ids, bodies, tokens, Index(bodies, shared.value, mean_words)):
-            crc = zlib.crc32(tokens[doc][start : start + length].astype("<u4").tobytes())
-            for column, x in zip(out, (ids[doc], start, length, crc, len(tokens[doc]), shard + sequence, offset)):
-                column.append(x)
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=names)
+        tokens = [np.append(encode(b.decode("utf-8", "replace")), np.uint16(0)) for _, b in given]
+        sizes = np.array([len(t) for t in tokens], np.int32)
+        parts = [x.tobytes() for x in (sizes, np.concatenate(tokens), *postings([b for _, b in given], shared.value, mean_words))]
+        columns = [table["shard"].slice(0, 1).cast(pa.int64()), pa.array([[i for i, _ in given]], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in parts]]
+        return pa.table(columns, names=["shard", "ids", "sizes", "tokens", *arrays])
 
     dealt = rows.select("*", F.pmod(F.xxhash64("id", "body"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(run, COLUMNS)
+    kinds = "shard long, ids array<long>, " + ", ".join(f"{c} binary" for c in ("sizes", "tokens", *arrays))
+    index = store(dealt.groupBy("shard").applyInArrow(build, kinds), "index")
+    held = {r["shard"]: np.frombuffer(r["sizes"], np.int32) for r in index.select("shard", "sizes").collect()}
+    order = sorted(held)
+    base = dict(zip(order, np.cumsum([0] + [len(held[k]) for k in order]).tolist()))
+    sizes = np.concatenate([held[k] for k in order])
+
+    def ask(seeds: list[int], used: np.ndarray) -> list:
+        if not seeds:
+            return []
+        wanted = np.array(sorted(set(seeds)), np.int64)
+        marks = context.broadcast((wanted, np.packbits(used)))
+
+        def fetch(batches):
+            for batch in batches:
+                for shard, at, own in zip(*[c.to_pylist() for c in batch.columns]):
+                    at, own = np.frombuffer(at, np.int64), np.frombuffer(own, np.int32)
+                    here = wanted_of(marks.value[0], base[shard], len(at) - 1)
+                    terms = [asked(own[at[d] : at[d + 1]], shared.value).tobytes() for d in here]
+                    yield pa.RecordBatch.from_arrays([pa.array(here + base[shard], pa.int64()), pa.array(terms, pa.binary())], names=["doc", "terms"])
+
+        terms = {r["doc"]: r["terms"] for r in index.select("shard", "at", "own").mapInArrow(fetch, "doc long, terms binary").collect()}
+        queries = context.broadcast([(d, terms[d]) for d in wanted.tolist()])
+
+        def search(batches):
+            for batch in batches:
+                for shard, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                    at, *lists = [np.frombuffer(x, k) for x, k in zip(parts, (np.int64, np.int32, np.int64, np.int32, np.float32))]
+                    n = len(at) - 1
+                    unused = ~np.unpackbits(marks.value[1])[base[shard] : base[shard] + n].astype(bool)
+                    out = [(seed, *best_of(np.frombuffer(q, np.int32), *lists, unused)) for seed, q in queries.value] if unused.any() else []
+                    seed = np.repeat(np.array([s for s, _, _ in out], np.int64), [len(b) for _, b, _ in out]) if out else np.zeros(0, np.int64)
+                    doc, score = [np.concatenate([r[k] for r in out]) if out else np.zeros(0) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array((doc + base[shard]).astype(np.int64)), pa.array(score.astype(float))], names=["seed", "doc", "score"])
+
+        found = index.select("shard", "at", "terms", "first", "docs", "weights").mapInArrow(search, "seed long, doc long, score double")
+        spot = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "doc"))
+        table = found.withColumn("n", spot).where(F.col("n") <= NEIGHBOURS).orderBy("seed", "n").select("seed", "doc").toArrow()
+        seed, doc = table["seed"].to_numpy(), table["doc"].to_numpy()
+        marks.unpersist()
+        queries.unpersist()
+        return [doc[a:b] for a, b in zip(np.searchsorted(seed, seeds, "left"), np.searchsorted(seed, seeds, "right"))]
+
+    pieces = np.array(grow(sizes, ask), np.int64).T
+    shard = np.array(order, np.int64)[np.searchsorted([base[k] for k in order], pieces[0], "right") - 1]
+    pieces[0] -= np.array([base[k] for k in range(shards) if k in base], np.int64)[np.searchsorted(order, shard)]
+    names = ["shard", "doc", "start", "length", "sequence", "offset"]
+    laid = spark.createDataFrame(pa.table([pa.array(x) for x in (shard, *pieces)], names=names))
+
+    def emit(places: pa.Table, texts: pa.Table) -> pa.Table:
+        ids = texts["ids"][0].as_py()
+        sizes, tokens = np.frombuffer(texts["sizes"][0].as_py(), np.int32), np.frombuffer(texts["tokens"][0].as_py(), np.uint16)
+        start_of = np.cumsum(sizes) - sizes
+        doc, start, length = [places[c].to_numpy() for c in ("doc", "start", "length")]
+        crc = [zlib.crc32(tokens[a : a + n].astype("<u4").tobytes()) for a, n in zip(start_of[doc] + start, length)]
+        columns = ([ids[d] for d in doc], start, length, crc, sizes[doc], places["sequence"].to_numpy(), places["offset"].to_numpy())
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in COLUMNS.split(", ")])
+
+    return laid.groupBy("shard").cogroup(index.select("shard", "ids", "sizes", "tokens").groupBy("shard")).applyInArrow(emit, COLUMNS)
+
+
+def wanted_of(wanted: np.ndarray, base: int, n: int) -> np.ndarray:
+    """Which of a shard's n documents are wanted; wanted is ascending and counts over all shards."""
+    a, b = np.searchsorted(wanted, [base, base + n])
+    return wanted[a:b] - base

@@ -1,9 +1,12 @@
 """What the operators once left out, against brute force."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import near_copies
+from millrace.llm import bm25_pack, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,3 +57,57 @@ def test_near_dedup_stage_drops_what_brute_force_drops(spark):
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert len(got) == len(set(got)) and set(got) == least_of_groups(rows)
     assert near(five_words("a b c d e f"), five_words("A b c d e f")) and near_copies.NUM / near_copies.DEN == 0.8
+
+
+def topical(n, size, seed=5):
+    """Texts of 20 topics, dealt in an order that has nothing to do with them."""
+    rng = random.Random(seed)
+    topics = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)] for _ in range(20)]
+    common = ["".join(rng.choices("klmnop", k=4)) for _ in range(50)]
+    return [" ".join(rng.choices(common, k=size // 2) + rng.choices(rng.choice(topics), k=size - size // 2)) for _ in range(n)]
+
+
+def bm25(texts):
+    """score(seed, other) over all of the seed's terms."""
+    bags = [Counter(zlib.crc32(w) & (bm25_pack.TERMS - 1) for w in t.encode().lower().split()) for t in texts]
+    df, mean = Counter(x for b in bags for x in b), sum(sum(b.values()) for b in bags) / len(bags)
+    idf = {x: math.log1p((len(bags) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+    long = [0.25 * 1.2 + 0.75 * 1.2 * sum(b.values()) / mean for b in bags]
+    return idf, lambda asked, d: sum(idf[x] * bags[d][x] * 2.2 / (bags[d][x] + long[d]) for x in asked if x in bags[d]), bags
+
+
+def check_order(spark, monkeypatch, texts, asked):
+    """Each document that follows a seed is the best unused one of the whole corpus, in whatever shard."""
+    monkeypatch.setattr(bm25_pack, "SHARD_BYTES", sum(map(len, texts)) // 5)
+    monkeypatch.setattr(bm25_pack, "CHAIN_WINDOWS", 10**6)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sorted(bm25_pack.pack(docs).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    idf, score, bags = bm25(texts)
+    unused, seed, followed = set(range(len(texts))), None, 0
+    at = 0
+    for r in rows:
+        d = r["doc_id"]
+        if r["start"] == 0:
+            if at % bm25_pack.WINDOW:
+                terms = asked(bags[seed], idf)
+                best = max(score(terms, x) for x in unused)
+                if best > 0:
+                    assert score(terms, d) >= best - 1e-4, (seed, d)
+                    followed += 1
+                else:
+                    seed = d
+            else:
+                seed = d
+            unused.remove(d)
+        at += r["length"]
+        if at % bm25_pack.WINDOW == 0:
+            seed = d
+    assert not unused and followed > len(texts) // 2
+
+
+def rarest(bag, idf):
+    return sorted(sorted(bag), key=lambda x: -idf[x])[: bm25_pack.QUERY_TERMS]
+
+
+def test_packing_searches_every_shard(spark, monkeypatch):
+    check_order(spark, monkeypatch, topical(60, 60), rarest)
