@@ -2,8 +2,8 @@
 
 Document frequencies and the mean length are counted over the whole corpus first (words hashed to a fixed number
 of terms, so the table has a fixed size). Documents are dealt to shards of bounded size by a hash; a shard is a row
-of a written table with its postings. Chains of windows grow side by side in rounds: each chain's seed is asked of
-every shard, the answers are merged, and the best unused documents follow until the window is full; a chain that
+of a written table with its postings. Chains of windows grow side by side in rounds: all terms of each chain's seed are looked
+up in every shard, the answers are merged, and the best unused documents follow until the window is full; a chain that
 has used up its answers asks again. What does not fit goes on in the next window, whose seed it is. A chain without
 a neighbour goes on with the next unused document. Its last tokens become sequences whose lengths are powers of
 two, so nothing is padded.
@@ -24,9 +24,11 @@ from millrace.llm.common import id_and_text, store
 
 WINDOW = 1024
 TERMS = 1 << 18
-#: UTF-8 bytes that a shard should hold; terms of a seed that are looked up; neighbours that one answer holds.
-SHARD_BYTES, QUERY_TERMS, NEIGHBOURS = 8 << 20, 16, 24
+#: UTF-8 bytes that a shard should hold; neighbours that one answer holds (a window that takes more asks again).
+SHARD_BYTES, NEIGHBOURS = 8 << 20, 24
 K1, B = 1.2, 0.75
+#: Postings that are added up at once.
+POSTINGS = 1 << 20
 #: Chains that grow side by side at most, and windows that a chain should have.
 CHAINS, CHAIN_WINDOWS = 4096, 16
 #: Words whose ids are remembered before the memory starts anew.
@@ -126,25 +128,32 @@ def postings(bodies: list[bytes], idf: np.ndarray, mean_words: float) -> list[np
     return [x.astype(k) for x, k in zip((at, term, terms, np.append(first, len(order)), doc[order], weight[order]), kinds)]
 
 
-def best_of(query: np.ndarray, terms: np.ndarray, first: np.ndarray, docs: np.ndarray, weights: np.ndarray, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unused documents of a shard with the highest BM25 for the query's terms, NEIGHBOURS at most, and their scores."""
-    at = np.searchsorted(terms, query)
-    at = at[(at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == query)] if len(terms) else at[:0]
-    if not len(at):
-        return at, at.astype(float)
-    spans = [slice(a, b) for a, b in zip(first[at], first[at + 1])]
-    scores = np.bincount(np.concatenate([docs[x] for x in spans]), np.concatenate([weights[x] for x in spans]), len(unused)) * unused
-    best = np.arange(len(scores))
-    if len(scores) > NEIGHBOURS:  # all that tie with the last one, so that the least documents win
-        best = np.nonzero(scores >= np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS])[0] if scores.any() else best[:0]
-    best = best[scores[best] > 0]
-    best = best[np.lexsort((best, -scores[best]))][:NEIGHBOURS]
-    return best, scores[best]
-
-
-def asked(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The terms of a seed that are looked up, ascending."""
-    return np.sort(terms[np.argsort(-idf[terms], kind="stable")[:QUERY_TERMS]])
+def best_of(queries: list[np.ndarray], terms: np.ndarray, first: np.ndarray, docs: np.ndarray, weights: np.ndarray, unused: np.ndarray):
+    """For each query the unused documents of a shard with the highest BM25 for all its terms, NEIGHBOURS at most, and their scores."""
+    place, n = np.cumsum(unused) - 1, int(unused.sum())
+    live = unused[docs]
+    first, docs, weights = np.append(0, np.cumsum(live))[first], place[docs[live]], weights[live]
+    back = np.nonzero(unused)[0]
+    at = 0
+    while at < len(queries):  # as many queries at once as about a million postings allow
+        spans, touched, to = [], 0, at
+        while to < len(queries) and (to == at or touched < POSTINGS and (to - at) * n < POSTINGS):
+            found = np.searchsorted(terms, queries[to])
+            found = found[terms[np.minimum(found, len(terms) - 1)] == queries[to]] if len(terms) else found[:0]
+            spans.append(found)
+            touched += int((first[found + 1] - first[found]).sum())
+            to += 1
+        flat = np.concatenate(spans)
+        sizes = first[flat + 1] - first[flat]
+        row = np.repeat(np.arange(to - at) * n, [len(x) for x in spans])
+        where = np.arange(touched) + np.repeat(first[flat] - (np.cumsum(sizes) - sizes), sizes)
+        scores = np.bincount(docs[where] + np.repeat(row, sizes), weights[where], (to - at) * n).reshape(to - at, n)
+        for own in scores:
+            least = max(np.partition(own, -NEIGHBOURS)[-NEIGHBOURS], 1e-30) if n > NEIGHBOURS else 1e-30
+            best = np.nonzero(own >= least)[0]  # all that tie with the last one, so that the least documents win
+            best = best[np.lexsort((best, -own[best]))][:NEIGHBOURS]
+            yield back[best], own[best]
+        at = to
 
 
 class Chain:
@@ -257,7 +266,7 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_5
                 for shard, at, own in zip(*[c.to_pylist() for c in batch.columns]):
                     at, own = np.frombuffer(at, np.int64), np.frombuffer(own, np.int32)
                     here = wanted_of(marks.value[0], base[shard], len(at) - 1)
-                    terms = [asked(own[at[d] : at[d + 1]], shared.value).tobytes() for d in here]
+                    terms = [own[at[d] : at[d + 1]].tobytes() for d in here]
                     yield pa.RecordBatch.from_arrays([pa.array(here + base[shard], pa.int64()), pa.array(terms, pa.binary())], names=["doc", "terms"])
 
         terms = {r["doc"]: r["terms"] for r in index.select("shard", "at", "own").mapInArrow(fetch, "doc long, terms binary").collect()}
@@ -269,7 +278,8 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_5
                     at, *lists = [np.frombuffer(x, k) for x, k in zip(parts, (np.int64, np.int32, np.int64, np.int32, np.float32))]
                     n = len(at) - 1
                     unused = ~np.unpackbits(marks.value[1])[base[shard] : base[shard] + n].astype(bool)
-                    out = [(seed, *best_of(np.frombuffer(q, np.int32), *lists, unused)) for seed, q in queries.value] if unused.any() else []
+                    asked = [np.frombuffer(q, np.int32) for _, q in queries.value]
+                    out = [(seed, *b) for (seed, _), b in zip(queries.value, best_of(asked, *lists, unused))] if unused.any() else []
                     seed = np.repeat(np.array([s for s, _, _ in out], np.int64), [len(b) for _, b, _ in out]) if out else np.zeros(0, np.int64)
                     doc, score = [np.concatenate([r[k] for r in out]) if out else np.zeros(0) for k in (1, 2)]
                     yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array((doc + base[shard]).astype(np.int64)), pa.array(score.astype(float))], names=["seed", "doc", "score"])
