@@ -74,17 +74,28 @@ def temperature_weights(sizes: DataFrame, size: str, exponent: float = 0.3) -> D
     return sizes.withColumn("p", p / F.sum(p).over(W.partitionBy()))
 
 
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, s): hashes of the shingles, ascending."""
+    # explode keeps the optimizer from moving the word split into the lambda, where it would run for every shingle
+    tokens = docs.select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
+    sets = tokens.select("doc_id", F.array_sort(F.transform(shingles(F.col("w"), width), lambda s: F.xxhash64(s))).alias("s"))
+    return sets.select("doc_id", F.explode(F.array("s")).alias("s"))
+
+
+def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, representative): the first document with an equal shingle set. A null text has itself."""
+    same = W.partitionBy("h", "s")
+    rep = F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.min("doc_id").over(same))
+    return shingle_sets(docs, width).withColumn("h", F.hash("s")).select("doc_id", rep.alias("representative"))
+
+
 def jaccard_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     """Pairs of distinct texts whose shingle sets have at least that Jaccard similarity.
 
     Prefix filter: of a set's shingles in a fixed order, two similar sets share one of the first
-    n - ceil(threshold * n) + 1, so only those are joined.
+    n - ceil(threshold * n) + 1, so only those are joined. Of documents with equal sets only the first is in a pair; shingle_classes tells the others.
     """
-    # explode keeps the optimizer from moving the word split into the lambda, where it would run for every shingle
-    tokens = docs.select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
-    sets = tokens.select("doc_id", F.array_sort(F.transform(shingles(F.col("w"), width), lambda s: F.xxhash64(s))).alias("s"))
-    sets = sets.select("doc_id", F.explode(F.array("s")).alias("s"))
-    sets = first_per_key(sets.withColumn("h", F.hash("s")), ["h", "s"], "doc_id").drop("h")
+    sets = first_per_key(shingle_sets(docs, width).withColumn("h", F.hash("s")), ["h", "s"], "doc_id").drop("h")
     size = F.size("s")
     keep = size - F.ceil(size * threshold).cast("int") + 1
     keys = sets.select("doc_id", size.alias("n"), F.explode(F.slice("s", F.lit(1), keep)).alias("k"))
@@ -118,3 +129,17 @@ def greedy_keep(pairs: DataFrame) -> DataFrame:
         state = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("near_kept", F.lit(False)), 2).when(F.coalesce("all_dropped", F.lit(True)), 1).otherwise(0)
         nodes = nodes.join(earlier, "x", "left").select("x", state.alias("state")).checkpoint()
     return nodes.select(F.col("x").alias("doc_id"), (F.col("state") == 1).alias("kept"))
+
+
+def near_members(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row per document: its representative in pairs, how many documents that stands for, and how many pairs it is in."""
+    ends = pairs.select(F.col("a").alias("representative")).unionAll(pairs.select("b")).groupBy("representative").agg(F.count("*").alias("n"))
+    found = shingle_classes(docs).withColumn("n_members", F.count("*").over(W.partitionBy("representative")))
+    return found.join(ends, "representative", "left").select("doc_id", "representative", "n_members", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def greedy_near(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, kept) for every document: a folded copy is similar to whatever kept its representative or dropped it, so it goes."""
+    decided = greedy_keep(pairs).withColumnRenamed("doc_id", "representative")
+    kept = (F.col("doc_id") == F.col("representative")) & F.coalesce("kept", F.lit(True))
+    return shingle_classes(docs).join(decided, "representative", "left").select("doc_id", kept.alias("kept"))

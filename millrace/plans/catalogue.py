@@ -148,6 +148,10 @@ def benchmark_leaks(t):
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+_SETS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w)"""
+
+
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
   s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
   f AS (SELECT min(doc_id) AS doc_id, s, len(s) AS n FROM s GROUP BY s), e AS (SELECT doc_id, n, unnest(s) AS k FROM f),
@@ -159,7 +163,17 @@ def near_duplicate_pairs(t):
 
 @query()
 def near_duplicate_greedy(t):
-    return build.greedy_keep(build.jaccard_pairs(t("documents")))
+    return build.greedy_near(t("documents"), build.jaccard_pairs(t("documents")))
+
+
+@query(rf"""WITH {_SETS}, c AS (SELECT s, min(doc_id) AS representative, count(*) AS n_members FROM s WHERE s IS NOT NULL GROUP BY s),
+  e AS (SELECT representative, len(s) AS n, unnest(s) AS k FROM c),
+  p AS (SELECT a.representative AS a, b.representative AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND a.representative < b.representative GROUP BY ALL),
+  q AS (SELECT unnest([a, b]) AS representative FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.8), l AS (SELECT representative, count(*) AS n FROM q GROUP BY 1)
+  SELECT doc_id, coalesce(representative, doc_id) AS representative, coalesce(n_members, 1) AS n_members, coalesce(l.n, 0) AS n_links
+  FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN l USING (representative)""")
+def near_duplicate_members(t):
+    return build.near_members(t("documents"), build.jaccard_pairs(t("documents")))
 
 
 @query(f"SELECT doc_id, gold, forced, decision, round(confidence, 6) AS confidence FROM {_records('a')} r")
