@@ -143,7 +143,7 @@ def benchmark_leaks(t):
     docs = t("documents").select("doc_id", "text", F.explode(F.array(cut(F.col("text")))).alias("w")).where(F.size("w") >= 9)
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: key(F.col("w"), i)))).alias("k"))
     near = grams.join(items.where("n >= 10"), "k").select("doc_id", "item_id", "item")
-    near = near.unionByName(docs.crossJoin(F.broadcast(items.where("n < 10"))).select("doc_id", "item_id", "item"))
+    near = near.unionByName(t("documents").crossJoin(F.broadcast(items.where("n < 10"))).select("doc_id", "item_id", "item"))
     hits = near.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "item"))
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 

@@ -12,3 +12,10 @@ def test_folded_copies_are_told(spark, tmp_path):
     assert members == {0: (0, 2, 1), 1: (0, 2, 1), 2: (2, 1, 1), 3: (3, 2, 0), 4: (3, 2, 0), 5: (5, 1, 0), 6: (6, 1, 0), 7: (7, 1, 0)}
     kept = {r["doc_id"]: r["kept"] for r in QUERIES["near_duplicate_greedy"](spark, str(tmp_path)).collect()}
     assert kept == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True, 6: True, 7: True}
+
+
+def test_short_items_are_looked_for_in_short_documents(spark, tmp_path):
+    docs = [(0, "a short item"), (1, "here is a short item in a text of more than nine words"), (2, "nothing"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "a short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in QUERIES["benchmark_leaks"](spark, str(tmp_path)).collect()] == [(7, 2, 0)]
