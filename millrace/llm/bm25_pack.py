@@ -1,42 +1,61 @@
-"""Packing by lexical retrieval: a sharded BM25 inverted index fills each seed's window with unused neighbours.
-
-Document frequencies and the mean length are counted over the whole corpus first (words hashed to a fixed number
-of terms, so the table has a fixed size). Documents are dealt to shards of bounded size by a hash; a shard is a row
-of a written table with its postings. Chains of windows grow side by side in rounds: all terms of each chain's seed are looked
-up in every shard, the answers are merged, and the best unused documents follow until the window is full; a chain that
-has used up its answers asks again. What does not fit goes on in the next window, whose seed it is. A chain without
-a neighbour goes on with the next unused document. Its last tokens become sequences whose lengths are powers of
-two, so nothing is padded.
+"""Packing by lexical retrieval: a sharded BM25 inverted index fills the windows of seeds with unused neighbours.
+
+Seeds are the texts of rows whose id is divisible by SEED_EVERY (the stated query set); all other texts are placed by what
+the index answers. In a pass every seed is scored by all of its terms against every unused text of every shard and
+has its NEIGHBOURS best ones. Seeds take them in turns: the r-th best in turn r, unless another seed has it already, the
+lesser seed first. Texts that no seed has taken are asked for again in the next pass, until none is left that shares a term
+with a seed; those few follow each other. A seed and what it took, in the order taken, are cut into windows of 1024 tokens;
+the last tokens of a chain become sequences whose lengths are powers of two, so nothing is padded.
+
+A map over the input writes the index: a row for each shard of bounded size with its postings and token ids, so texts are
+read once. Shards hold texts of one lexical cluster (centres are learned from a bounded sample, every text is dealt). A seed
+asks the shards of all clusters whose centre is at least NEAR_CENTRE times as near as the nearest one; recall against all
+shards is measured in the tests. Frequent terms of a shard are scored by a matrix product, the others by their postings.
+Equal texts are one text in the index, and its copies follow it, or, where they are many, form chains of their own by shard.
+
+The scored pairs are at most the square of the texts divided by SEED_EVERY.
 """
 
 import json
-import re
 import zlib
-from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import id_and_text, store
 
-WINDOW = 1024
+WINDOW, SEED_EVERY = 1024, 20
 TERMS = 1 << 18
-#: UTF-8 bytes that a shard should hold; neighbours that one answer holds (a window that takes more asks again).
-SHARD_BYTES, NEIGHBOURS = 8 << 20, 24
 K1, B = 1.2, 0.75
-#: Postings that are added up at once.
-POSTINGS = 1 << 20
-#: Chains that grow side by side at most, and windows that a chain should have.
-CHAINS, CHAIN_WINDOWS = 4096, 16
-#: Words whose ids are remembered before the memory starts anew.
-CACHE = 400_000
+#: UTF-8 bytes and documents that a shard holds at most (a longer text is a shard of its own).
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 14
+#: Best unused texts that a seed is told in a pass.
+NEIGHBOURS = 128
+#: Terms of seeds, and seeds, that are broadcast at once; documents whose marks are broadcast at once (a bit each).
+BLOCK_TERMS, BLOCK_SEEDS, BLOCK_DOCS = 1 << 22, 1 << 17, 1 << 26
+#: One shard in so many is asked first for a bound of each seed's NEIGHBOURS-th best score.
+SAMPLED_SHARDS = 16
+#: Clusters, and the sampled texts (and the longest one) that they are learned from.
+CLUSTERS, SAMPLE_DOCS, SAMPLE_BYTES = 16, 2048, 1 << 16
+#: A seed asks the clusters whose centre is at least this part as near as the nearest.
+NEAR_CENTRE = 0.3
+#: Copies of a text up to which they follow it; of more, each shard's are a chain.
+FEW_COPIES = 32
+#: Scores are compared in steps of one part in so many.
+STEPS = 64
+#: Seeds that one group of the merged answers holds, scores in memory at once, answers held before they are cut.
+SEED_GROUP, CELLS, HELD = 512, 1 << 19, 1 << 22
 #: Fixed value: the pattern that cuts a text before byte-pair merging in this public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-SPACES = re.compile(r" \s")
+_LOCAL, _WINDOWS = 14, 19  # bits of a document's number in its shard, and of a sequence's in its chain
+_INDEX = {"sizes": np.int32, "tokens": np.uint16, "lengths": np.int32, "terms": np.int32, "first": np.int32, "docs": np.uint16, "times": np.uint16}
+_ENTRY = "k1 long, k2 long, low long, n int, is_seed boolean, size int, docs array<long>"
 _loaded: dict = {}
 
 
@@ -48,57 +67,235 @@ def _byte_of() -> dict[str, int]:
 
 
 def encoder(name: str):
-    """text -> uint16 token ids, as tokenizers gives them for the vocabulary file name.
-
-    A single space before a word always starts a new piece in that vocabulary, so words are encoded one by one
-    and remembered; texts where white space follows a space are encoded whole.
-    """
+    """text -> uint16 token ids, as tokenizers gives them for the vocabulary file name."""
     if name not in _loaded:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(name), encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        byte = _byte_of()
+            model = json.load(file)["model"]
+        byte, vocabulary = _byte_of(), model["vocab"]
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):  # ids serve as ranks, which is right only in this order
+            raise ValueError(f"{name}: token ids do not follow the order of merges")
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and i != 50256}
-        _loaded[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}
-    whole, known = _loaded[name]
-
-    def encode(text: str) -> np.ndarray:
-        if SPACES.search(text):
-            return np.array(whole.encode_ordinary(text), np.uint16)
-        if len(known) > CACHE:
-            known.clear()
-        words = text.split(" ")
-        out = [known.get(word) for word in words]  # each with the space before it
-        for k, word in enumerate(words):
-            if out[k] is None:
-                known[word] = out[k] = array("H", whole.encode_ordinary(" " + word)).tobytes()
-        out[0] = array("H", whole.encode_ordinary(words[0])).tobytes()
-        return np.frombuffer(b"".join(out), np.uint16)
-
-    return encode
+        _loaded[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = _loaded[name]
+    return lambda text: np.array(whole.encode_ordinary(text), np.uint16)
 
 
 def terms_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed terms of the lower-cased words, distinct and ascending, and how often each stands there."""
+    found = Counter(body.lower().split())
     crc, mask = zlib.crc32, TERMS - 1
-    return np.unique(np.array([crc(w) & mask for w in body.lower().split()], np.int64), return_counts=True)
+    terms, back = np.unique(np.fromiter((crc(w) & mask for w in found), np.int32, len(found)), return_inverse=True)
+    return terms, np.bincount(back, np.fromiter(found.values(), np.int64, len(found)), len(terms)).astype(np.int64)
+
+
+class Router:
+    """Lexical clusters of texts: unit vectors of the sample's most frequent terms, grouped by their nearest centre."""
+
+    def __init__(self, bodies: list[bytes], width: int = 1024, rounds: int = 12):
+        found = [terms_of(b)[0] for b in bodies]
+        df = np.bincount(np.concatenate(found) if found else np.zeros(0, int), minlength=TERMS)
+        common = np.argsort(-df, kind="stable")[:width]
+        idf = np.log1p(len(found) / (df[common] + 0.5)).astype(np.float32)
+        self.column = np.full(TERMS, -1, np.int16)
+        self.column[common] = np.arange(width)
+        x = np.zeros((len(found), width), np.float32)
+        for k, terms in enumerate(found):
+            own = self.column[terms]
+            x[k, own[own >= 0]] = idf[own[own >= 0]]
+        x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+        rng = np.random.default_rng(4)
+        centres = x[rng.permutation(len(x))[:CLUSTERS]] if len(x) else np.zeros((1, width), np.float32)
+        for _ in range(rounds if len(x) else 0):
+            own = (x @ centres.T).argmax(1)
+            sums = np.array([x[own == k].sum(0) for k in range(len(centres))])
+            centres = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
+        self.weights = np.ascontiguousarray((centres * idf).T)  # a text's length does not change its nearest centre
+
+    def nearness(self, terms: np.ndarray) -> np.ndarray:
+        own = self.column[terms]
+        return self.weights[own[own >= 0]].sum(0)
+
+    def asked(self, terms: np.ndarray) -> int:
+        """The clusters that a seed asks, a bit each."""
+        near = self.nearness(terms)
+        return sum(1 << k for k in np.nonzero(near >= NEAR_CENTRE * near.max())[0].tolist())
+
+
+def make_shard(rows: list[tuple], encode) -> dict[str, np.ndarray]:
+    """rows (id, body, terms, times) -> the arrays of a shard (_INDEX): postings by term, then by document."""
+    tokens = [np.append(encode(b.decode("utf-8", "replace")), np.uint16(0)) for _, b, _, _ in rows]
+    term, times = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+    doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    order = np.argsort(term, kind="stable")
+    terms, first = np.unique(term[order], return_index=True)
+    parts = {"sizes": [len(t) for t in tokens], "tokens": np.concatenate(tokens), "lengths": [r[3].sum() for r in rows]}
+    parts |= {"terms": terms, "first": np.append(first, len(order)), "docs": doc[order], "times": np.minimum(times[order], 65535)}
+    return {k: np.asarray(parts[k]).astype(kind) for k, kind in _INDEX.items()}
+
 
+def saturated(times: np.ndarray, lengths: np.ndarray, mean: float) -> np.ndarray:
+    return times * (K1 + 1) / (times + K1 * (1 - B + B * lengths / max(mean, 1e-9)))
 
-def statistics(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
-    """rows (id, body): document frequency of each term, documents, words and bytes, over all of them."""
+
+def best_of(number: np.ndarray, seed: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the NEIGHBOURS best answers of each seed (number: its document), best first, and their ranks.
+
+    Equal scores stand in the order of a hash, another one for each seed, so that equal answers do not go to one seed.
+    One number holds what is sorted by: 18 bits of the seed's place, 26 of its score, 20 of the hash.
+    """
+    x = (number[seed].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    x = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(44)
+    most = (1 << 26) - 1
+    order = np.argsort((seed.astype(np.uint64) << np.uint64(46)) | ((most - np.minimum(score, most)).astype(np.uint64) << np.uint64(20)) | x)
+    sorted_ = seed[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+    return order[rank < NEIGHBOURS], rank[rank < NEIGHBOURS]
+
+
+class Search:
+    """Answers of shards to a block of seeds, one shard after the other, cut to the best ones of each seed."""
+
+    def __init__(self, number: np.ndarray, clusters: np.ndarray, at: np.ndarray, terms: np.ndarray, bound: np.ndarray, idf: np.ndarray, mean: float):
+        self.number, self.clusters, self.at, self.terms, self.idf, self.mean = number, clusters, at, terms, idf, mean
+        self.bound = bound.copy()  # a seed's answers below it are no longer asked for
+        self.found: list = []
+        self.size = 0
+
+    def add(self, shard: int, cluster: int, live: np.ndarray, lengths, terms, first, docs, times) -> None:
+        """live: which documents of the shard are unused."""
+        n, asked = int(live.sum()), np.nonzero(self.clusters >> cluster & 1)[0]
+        if not n or not len(asked):
+            return
+        back = np.nonzero(live)[0]
+        use = live[docs]
+        first = np.append(0, np.cumsum(use))[first]
+        docs = (np.cumsum(live) - 1)[docs[use]]
+        of = np.repeat(np.arange(len(terms)), np.diff(first))
+        weights = (saturated(times[use].astype(np.float32), lengths[back][docs], self.mean) * self.idf[terms[of]]).astype(np.float32)
+        place = np.full(TERMS, -1, np.int32)
+        some = np.nonzero(np.diff(first))[0]
+        place[terms[some]] = some
+        hot = np.nonzero(np.diff(first) > max(8, n // 12))[0]
+        column = np.full(len(terms) + 1, -1, np.int32)
+        column[hot] = np.arange(len(hot))
+        dense = np.zeros((len(hot), n), np.float32)
+        is_hot = column[of] >= 0
+        dense[column[of][is_hot], docs[is_hot]] = weights[is_hot]
+        step = max(1, CELLS // n)
+        for a in range(0, len(asked), step):
+            self._score(shard, asked[a : a + step], back, place, column, dense, first, docs, weights)
+        if self.size > HELD:
+            self.cut()
+
+    def _score(self, shard, seeds, back, place, column, dense, first, docs, weights) -> None:
+        n, counts = len(back), np.diff(self.at)[seeds]
+        flat = np.arange(counts.sum()) + np.repeat(self.at[seeds] - (np.cumsum(counts) - counts), counts)
+        row, term = np.repeat(np.arange(len(seeds)), counts), place[self.terms[flat]]
+        row, term = row[term >= 0], term[term >= 0]
+        col = column[term]
+        query = np.zeros((len(seeds), len(dense)), np.float32)
+        query[row[col >= 0], col[col >= 0]] = 1
+        scores = query @ dense
+        row, term = row[col < 0], term[col < 0]
+        sizes = first[term + 1] - first[term]
+        where = np.arange(sizes.sum()) + np.repeat(first[term] - (np.cumsum(sizes) - sizes), sizes)
+        np.add.at(scores.reshape(-1), docs.take(where) + np.repeat(row * n, sizes), weights.take(where))
+        least = np.maximum(1e-6, (self.bound[seeds] - 0.5) / STEPS).astype(np.float32)
+        flat = np.flatnonzero(scores >= least[:, None])
+        if n > NEIGHBOURS and len(flat) > 4 * NEIGHBOURS * len(seeds):  # no bound yet: only the best ones of this shard
+            worst = np.partition(scores, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] - 1 / STEPS
+            flat = np.flatnonzero(scores >= np.maximum(least, worst)[:, None])
+        i, j = np.divmod(flat, n)
+        steps = np.floor(scores.reshape(-1)[flat] * STEPS + 0.5).astype(np.int32)
+        self.found.append((seeds[i].astype(np.int32), (shard << _LOCAL) + back[j].astype(np.int64), steps))
+        self.size += len(i)
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        """The best answers so far (seed, document, score); raises the bounds."""
+        seed, doc, score = [np.concatenate([f[k] for f in self.found]) if self.found else np.zeros(0, np.int64) for k in range(3)]
+        best, rank = best_of(self.number, seed, doc, score)
+        seed, doc, score = seed[best], doc[best], score[best]
+        last = rank == NEIGHBOURS - 1
+        self.bound[seed[last]] = np.maximum(self.bound[seed[last]], score[last])
+        self.found, self.size = [(seed, doc, score)], len(seed)
+        return seed, doc, score
+
+
+def cut_chain(sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sizes of documents in order -> pieces: document's place, start, length, sequence in the chain, offset."""
+    end = np.cumsum(sizes)
+    total = int(end[-1])
+    rest, cuts = total % WINDOW, [np.arange(0, total - total % WINDOW + 1, WINDOW)]
+    for bit in reversed(range(rest.bit_length())):
+        if rest >> bit & 1:
+            cuts.append(cuts[-1][-1:] + (1 << bit))
+    cuts = np.concatenate(cuts)
+    edges = np.unique(np.concatenate([cuts, end]))
+    at, length = edges[:-1], np.diff(edges)
+    doc = np.searchsorted(end, at, "right")
+    sequence = np.searchsorted(cuts, at, "right") - 1
+    return doc, at - (end - sizes)[doc], length, sequence, at - cuts[sequence]
+
+
+def _write_index(rows: DataFrame, router, vocabulary: str) -> DataFrame:
+    """rows (id, body) -> a written table with a row for each shard."""
+    kinds = "shard long, ids array<long>, keys binary, " + ", ".join(f"{c} binary" for c in _INDEX) + ", cluster int, seeds binary, seed_at binary, seed_terms binary, seed_asks binary"
+
+    def build(batches):
+        encode, number = encoder(vocabulary), TaskContext.get().partitionId() << 10
+        open_: dict[int, list] = {}
+        held: Counter = Counter()
+        made = 0
+
+        def flush(cluster):
+            nonlocal made
+            own = open_.pop(cluster)
+            held[cluster] = 0
+            if made >> 10:
+                raise ValueError("a partition of the input has more than 1024 shards: read it in smaller ones")
+            keys = b"".join(xxhash.xxh3_128_digest(b) for _, b, _, _ in own)
+            seeds = [k for k, r in enumerate(own) if r[0] is not None and r[0] % SEED_EVERY == 0]
+            at = np.cumsum([0] + [len(own[k][2]) for k in seeds])
+            told = np.concatenate([own[k][2] for k in seeds]) if seeds else np.zeros(0)
+            values = [[number + made], [[r[0] for r in own]], [keys], *[[x.tobytes()] for x in make_shard(own, encode).values()]]
+            asks = [router.value.asked(own[k][2]) for k in seeds]
+            values += [[cluster], *[[np.array(x, np.int32).tobytes()] for x in (seeds, at, told, asks)]]
+            made += 1
+            types = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * (len(_INDEX) + 1) + [pa.int32()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in kinds.split(", ")])
+
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = body or b""
+                terms, times = terms_of(body)
+                k = int(router.value.nearness(terms).argmax())
+                if k in open_ and (held[k] + len(body) > SHARD_BYTES or len(open_[k]) == SHARD_DOCS):
+                    yield flush(k)
+                open_.setdefault(k, []).append((i, body, terms, times))
+                held[k] += len(body)
+        for k in sorted(open_):
+            yield flush(k)
+
+    return store(rows.mapInArrow(build, kinds), "index")
+
+
+def _statistics(index: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Document frequency of each term, documents and words, over all rows."""
     step = 4096
 
     def count(batches):
-        df, docs, n_words, n_bytes = np.zeros(TERMS, np.int64), 0, 0, 0
+        df, docs, n_words = np.zeros(TERMS, np.int64), 0, 0
         for batch in batches:
-            for body in batch.column(1).to_pylist():
-                words = (body or b"").lower().split()
-                df[list({zlib.crc32(w) & (TERMS - 1) for w in set(words)})] += 1
-                docs, n_words, n_bytes = docs + 1, n_words + len(words), n_bytes + len(body or b"")
+            for terms, first, lengths in zip(*[c.to_pylist() for c in batch.columns]):
+                lengths = np.frombuffer(lengths, np.int32)
+                df[np.frombuffer(terms, np.int32)] += np.diff(np.frombuffer(first, np.int32))
+                docs, n_words = docs + len(lengths), n_words + int(lengths.sum(dtype=np.int64))
         blocks = [df[at : at + step].tobytes() for at in range(0, TERMS, step)]
-        blocks.append(np.array([docs, n_words, n_bytes], np.int64).tobytes())
+        blocks.append(np.array([docs, n_words], np.int64).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
@@ -106,211 +303,223 @@ def statistics(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
         return pa.table([table["block"].slice(0, 1), pa.array([counts.tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    found = rows.mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema).collect()
-    blocks = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in found}
+    found = index.select("terms", "first", "lengths").mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema).collect()
+    blocks = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in found}  # TERMS numbers, whatever the corpus
     if not blocks:
-        return np.zeros(TERMS, np.int64), 0, 0, 0
+        return np.zeros(TERMS, np.int64), 0, 0
     last = max(blocks)
     return np.concatenate([blocks[k] for k in range(last)]), *map(int, blocks[last])
 
 
-def postings(bodies: list[bytes], idf: np.ndarray, mean_words: float) -> list[np.ndarray]:
-    """A shard's documents: where their terms start, their terms; its terms, where their postings start, documents, weights."""
-    found = [terms_of(b) for b in bodies]
-    at = np.cumsum([0] + [len(t) for t, _ in found])
-    term, times = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
-    doc = np.repeat(np.arange(len(bodies)), np.diff(at))
-    long = np.array([c.sum() for _, c in found])[doc] / max(mean_words, 1e-9)
-    weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * long))
-    order = np.argsort(term, kind="stable")
-    terms, first = np.unique(term[order], return_index=True)
-    kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.float32)
-    return [x.astype(k) for x, k in zip((at, term, terms, np.append(first, len(order)), doc[order], weight[order]), kinds)]
-
-
-def best_of(queries: list[np.ndarray], terms: np.ndarray, first: np.ndarray, docs: np.ndarray, weights: np.ndarray, unused: np.ndarray):
-    """For each query the unused documents of a shard with the highest BM25 for all its terms, NEIGHBOURS at most, and their scores."""
-    place, n = np.cumsum(unused) - 1, int(unused.sum())
-    live = unused[docs]
-    first, docs, weights = np.append(0, np.cumsum(live))[first], place[docs[live]], weights[live]
-    back = np.nonzero(unused)[0]
-    at = 0
-    while at < len(queries):  # as many queries at once as about a million postings allow
-        spans, touched, to = [], 0, at
-        while to < len(queries) and (to == at or touched < POSTINGS and (to - at) * n < POSTINGS):
-            found = np.searchsorted(terms, queries[to])
-            found = found[terms[np.minimum(found, len(terms) - 1)] == queries[to]] if len(terms) else found[:0]
-            spans.append(found)
-            touched += int((first[found + 1] - first[found]).sum())
-            to += 1
-        flat = np.concatenate(spans)
-        sizes = first[flat + 1] - first[flat]
-        row = np.repeat(np.arange(to - at) * n, [len(x) for x in spans])
-        where = np.arange(touched) + np.repeat(first[flat] - (np.cumsum(sizes) - sizes), sizes)
-        scores = np.bincount(docs[where] + np.repeat(row, sizes), weights[where], (to - at) * n).reshape(to - at, n)
-        for own in scores:
-            least = max(np.partition(own, -NEIGHBOURS)[-NEIGHBOURS], 1e-30) if n > NEIGHBOURS else 1e-30
-            best = np.nonzero(own >= least)[0]  # all that tie with the last one, so that the least documents win
-            best = best[np.lexsort((best, -own[best]))][:NEIGHBOURS]
-            yield back[best], own[best]
-        at = to
-
-
-class Chain:
-    """Windows one after the other: pieces (document, start, length, sequence, offset)."""
-
-    def __init__(self, number: int):
-        self.sequence, self.filled, self.window, self.seed = number << 32, 0, [], -1
-
-    def place(self, doc: int, size: int, out: list) -> bool:
-        """Append a document; does it end a window?"""
-        at, ended = 0, False
-        if not self.filled:
-            self.seed = doc
-        while at < size:
-            take = min(WINDOW - self.filled, size - at)
-            self.window.append((doc, at, take))
-            at, self.filled = at + take, self.filled + take
-            if self.filled == WINDOW:
-                offset = 0
-                for d, s, length in self.window:
-                    out.append((d, s, length, self.sequence, offset))
-                    offset += length
-                self.sequence, self.filled, self.window, self.seed, ended = self.sequence + 1, 0, [], doc, True
-        return ended
-
-    def end(self, out: list) -> None:
-        """The rest, in sequences whose lengths are powers of two, the largest first."""
-        filled, sequence = self.filled, self.sequence
-        offset, room = 0, 1 << (filled.bit_length() - 1) if filled else 0
-        for d, s, length in self.window:
-            while length:
-                take = min(length, room - offset)
-                out.append((d, s, take, sequence, offset))
-                s, length, offset = s + take, length - take, offset + take
-                if offset == room:
-                    filled -= room
-                    sequence, offset, room = sequence + 1, 0, 1 << (filled.bit_length() - 1) if filled else 0
-        self.filled, self.window = 0, []
-
-
-def grow(sizes: np.ndarray, ask) -> list[tuple]:
-    """Pieces of all documents, given their tokens. ask(seeds, used) -> for each seed its best unused documents."""
-    out, used, fresh = [], np.zeros(len(sizes), bool), 0
-    chains = [Chain(k) for k in range(max(1, min(CHAINS, int(sizes.sum()) // (WINDOW * CHAIN_WINDOWS))))]
-    while chains:
-        answers = dict(zip((c for c in chains if c.filled), ask([c.seed for c in chains if c.filled], used)))
-        left = []
-        for chain in chains:
-            found = answers.get(chain, [])
-            for doc in found:
-                if not used[doc]:
-                    used[doc] = True
-                    if chain.place(doc, int(sizes[doc]), out):
-                        break
-            if not len(found):
-                while fresh < len(sizes) and used[fresh]:
-                    fresh += 1
-                if fresh == len(sizes):
-                    chain.end(out)
-                    continue
-                used[fresh] = True
-                chain.place(fresh, int(sizes[fresh]), out)
-                chain.seed = fresh
-            left.append(chain)
-        chains = left
-    return out
+def _entries(index: DataFrame) -> DataFrame:
+    """A row for each text and shard (_ENTRY): its copies there, the least first; low: that one."""
+
+    def each(batches):
+        for batch in batches:
+            for shard, ids, keys, sizes in zip(*[c.to_pylist() for c in batch.columns]):
+                keys, sizes = np.frombuffer(keys, ">u8").reshape(-1, 2).astype(np.int64), np.frombuffer(sizes, np.int32)
+                order = np.lexsort((np.arange(len(keys)), keys[:, 1], keys[:, 0]))
+                new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(1)])
+                start = np.append(np.nonzero(new)[0], len(order))
+                seed = np.array([i is not None and i % SEED_EVERY == 0 for i in ids])
+                least = order[start[:-1]]
+                docs = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array((shard << _LOCAL) + order))
+                parts = [keys[least, 0], keys[least, 1], (shard << _LOCAL) + least, np.diff(start).astype(np.int32), np.logical_or.reduceat(seed[order], start[:-1]), sizes[least]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, parts), docs], names=[c.split()[0] for c in _ENTRY.split(", ")])
+
+    return store(index.select("shard", "ids", "keys", "sizes").mapInArrow(each, _ENTRY), "entries")
+
+
+class Library:
+    """The index of a corpus, and what its seeds may ask of it."""
+
+    def __init__(self, rows: DataFrame, vocabulary: str):
+        self.spark = rows.sparkSession
+        context = self.spark.sparkContext
+        short = rows.where(F.octet_length("body") <= SAMPLE_BYTES)
+        n = short.count()
+        rate = int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n)))
+        drawn = short.where(F.pmod(F.xxhash64("id", "body", F.lit(11)), F.lit(1 << 30)) < rate).limit(2 * SAMPLE_DOCS).collect()
+        router = Router(sorted(bytes(r["body"]) for r in drawn))
+        self.index = _write_index(rows, context.broadcast(router), vocabulary)
+        frequency, self.docs, n_words = _statistics(self.index)
+        self.mean = n_words / max(1, self.docs)
+        self.idf = context.broadcast(np.log1p((self.docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
+        self.entries = _entries(self.index)
+        grouped = self.entries.groupBy("k1", "k2").agg(F.min("low").alias("doc"), F.sum("n").alias("n"), F.max("is_seed").alias("is_seed"), F.first("size").alias("size"))
+        self.texts = store(grouped, "texts")  # a text is known by its least document
+
+    def seeds(self) -> DataFrame:
+        """(doc, block, terms, asks): a row for each seed; a block has about BLOCK_TERMS terms."""
+
+        def each(batches):
+            for batch in batches:
+                for shard, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                    own, at, terms, asks = (np.frombuffer(x, np.int32) for x in parts)
+                    columns = [pa.array((shard << _LOCAL) + own.astype(np.int64)), pa.array([terms[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array(asks)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "terms", "asks"])
+
+        told = self.index.select("shard", "seeds", "seed_at", "seed_terms", "seed_asks").mapInArrow(each, "row long, terms binary, asks int")
+        of = self.entries.where("is_seed").select("k1", "k2", F.explode("docs").alias("row"))
+        named = of.join(self.texts.where("is_seed").select("k1", "k2", "doc"), ["k1", "k2"]).select("row", "doc")
+        one = told.join(named, "row").groupBy("doc").agg(F.first("terms").alias("terms"), F.first("asks").alias("asks"))  # equal for copies
+        one = store(one, "seeds")
+        n, size = one.agg(F.count("*"), F.sum(F.octet_length("terms"))).first()
+        self.blocks = max(1, -(-(size or 0) // (4 * BLOCK_TERMS)), -(-n // BLOCK_SEEDS))
+        return one.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(self.blocks)))
+
+    def marks(self, open_: DataFrame) -> list:
+        """Broadcast bit masks {shard: unused documents}, each with the condition that says which shards it covers."""
+        parts = max(1, -(-self.docs // BLOCK_DOCS))
+
+        def mask(table: pa.Table) -> pa.Table:
+            local = table["doc"].to_numpy() & ((1 << _LOCAL) - 1)
+            bits = np.zeros(int(local.max()) + 1, bool)
+            bits[local] = True
+            return pa.table([table["shard"].slice(0, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["shard", "bits"])
+
+        rows = open_.select("doc", F.shiftright("doc", _LOCAL).alias("shard")).groupBy("shard").applyInArrow(mask, "shard long, bits binary")
+        rows = store(rows, "marks") if parts > 1 else rows
+        out = []
+        for k in range(parts):
+            covered = F.pmod(F.xxhash64("shard", F.lit(9)), F.lit(parts)) == k
+            out.append((covered, self.spark.sparkContext.broadcast({r["shard"]: r["bits"] for r in rows.where(covered).collect()})))
+        return out
+
+    def answers(self, seeds: DataFrame, block: int, marks: list) -> DataFrame:
+        """(seed, doc, rank): the best unused texts of each seed of a block, over all shards."""
+        context, idf, mean = self.spark.sparkContext, self.idf, self.mean
+        held = seeds.where(F.col("block") == block).orderBy("doc").toArrow()
+        terms = held["terms"].to_pylist()
+        number, at = held["doc"].to_numpy(), np.cumsum([0] + [len(t) // 4 for t in terms])
+        asked = context.broadcast((number, held["asks"].to_numpy(), at, np.frombuffer(b"".join(terms), np.int32)))
+        columns = ["lengths", "terms", "first", "docs", "times"]
+        found = "part int, seed binary, doc binary, score binary"
+
+        def search(index, unused, bounds):
+            def run(batches):
+                work = Search(*asked.value, bounds.value, idf.value, mean)
+                for batch in batches:
+                    for shard, cluster, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                        if shard in unused.value:
+                            arrays = [np.frombuffer(x, _INDEX[c]) for x, c in zip(parts, columns)]
+                            live = np.unpackbits(np.frombuffer(unused.value[shard], np.uint8), count=len(arrays[0])).astype(bool)
+                            work.add(shard, cluster, live, *arrays)
+                seed, doc, score = work.cut()
+                part = seed // SEED_GROUP
+                edges = np.searchsorted(part, np.arange(int(part.max(initial=-1)) + 2))
+                for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                    if b > a:
+                        blobs = [x[a:b].astype(t).tobytes() for x, t in ((seed, np.int32), (doc, np.int64), (score, np.int32))]
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "seed", "doc", "score"])
+
+            return index.select("shard", "cluster", *columns).mapInArrow(run, found)
+
+        def merge(table: pa.Table) -> pa.Table:
+            seed, doc, score = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("seed", np.int32), ("doc", np.int64), ("score", np.int32))]
+            best, rank = best_of(asked.value[0], seed, doc, score)
+            return pa.table([pa.array(asked.value[0][seed[best]]), pa.array(doc[best]), pa.array(rank.astype(np.int32)), pa.array(score[best])], names=["seed", "doc", "rank", "score"])
+
+        merged = "seed long, doc long, rank int, score int"
+        bound = np.zeros(len(number), np.int32)
+        few = F.pmod(F.xxhash64("shard", F.lit(13)), F.lit(SAMPLED_SHARDS)) == 0
+        free = context.broadcast(bound)
+        first = [search(self.index.where(c & few), u, free) for c, u in marks]
+        least = first[0]
+        for other in first[1:]:
+            least = least.unionAll(other)
+        least = least.groupBy("part").applyInArrow(merge, merged).where(F.col("rank") == NEIGHBOURS - 1).select("seed", "score").toArrow()
+        bound[np.searchsorted(number, least["seed"].to_numpy())] = least["score"].to_numpy()
+        bounds = context.broadcast(bound)
+        whole = [search(self.index.where(c), u, bounds) for c, u in marks]
+        out = whole[0]
+        for other in whole[1:]:
+            out = out.unionAll(other)
+        out = store(out.groupBy("part").applyInArrow(merge, merged), "answers")
+        for x in (asked, free, bounds):
+            x.unpersist()
+        return out
+
+
+def claims(library: Library) -> DataFrame:
+    """(doc, chain, pass_no, rank) for every text that a seed took, and for the seeds themselves (pass -1)."""
+    texts = library.texts
+    seeds = library.seeds()
+    taken = texts.where("is_seed").select("doc", F.col("doc").alias("chain"), F.lit(-1).alias("pass_no"), F.lit(0).alias("rank"))
+    open_ = texts.where("not is_seed").select("doc")
+    number = 0
+    while open_.limit(1).count():
+        marks = library.marks(open_)
+        told = [library.answers(seeds, k, marks) for k in range(library.blocks)]
+        for _, m in marks:
+            m.unpersist()
+        heard = told[0]
+        for other in told[1:]:
+            heard = heard.unionAll(other)
+        won = heard.groupBy("doc").agg(F.min(F.struct("rank", "seed")).alias("w"))
+        won = store(won.select("doc", F.col("w.seed").alias("chain"), F.lit(number).alias("pass_no"), F.col("w.rank").alias("rank")), "claims")
+        if not won.limit(1).count():
+            break  # what is left shares no term with any seed
+        taken = taken.unionAll(won)
+        open_ = store(open_.join(won.select("doc"), "doc", "left_anti"), "open")
+        number += 1
+    return taken
+
+
+def _members(library: Library) -> DataFrame:
+    """(chain, pass_no, rank, lead, doc, size) for every document."""
+    texts = library.texts.join(claims(library), "doc", "left")
+    shard = F.shiftright("doc", _LOCAL)
+    left = texts.where("chain is null").groupBy(shard.alias("s")).agg(F.min("doc").alias("alone"))  # a chain for each shard
+    texts = texts.withColumn("s", shard).join(left, "s", "left").withColumn("chain", F.coalesce("chain", "alone"))
+    texts = texts.select("k1", "k2", "doc", F.col("n").alias("copies"), "chain", F.coalesce("pass_no", F.lit(0)).alias("pass_no"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    both = library.entries.join(texts, ["k1", "k2"])
+    few = F.col("copies") <= FEW_COPIES
+    others = F.array_remove("docs", F.col("doc"))  # of many copies the first alone follows its seed
+    first = both.where(few | (F.col("low") == F.col("doc")))
+    place = ["pass_no", "rank", F.col("doc").alias("lead")]
+    along = first.select("chain", *place, F.explode(F.when(few, F.col("docs")).otherwise(F.array("doc"))).alias("one"), "size")
+    apart = both.where(~few).select(F.array_min(others).alias("chain"), *place, F.explode(others).alias("one"), "size")
+    return along.unionAll(apart).withColumnRenamed("one", "doc")
 
 
 def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_50k.json") -> DataFrame:
     """A row for each piece of every document. A null text is empty: its document is the end token alone.
 
-    Rows with equal ids are packed each for itself. sequence_id has the chain in its high 32 bits.
+    Rows with equal ids are packed each for itself. Without any seed each shard's texts are a chain in order. A term's
+    count in a text is held up to 65,535. sequence_id has the number of its chain's first document in its high bits.
     """
-    rows = id_and_text(df, id_col, text_col)
-    spark = rows.sparkSession
-    context = spark.sparkContext
-    frequency, docs, n_words, n_bytes = statistics(rows)
-    if not docs:
+    library = Library(id_and_text(df, id_col, text_col), vocabulary)
+    spark = library.spark
+    if not library.docs:
         return spark.createDataFrame([], COLUMNS)
-    idf = np.log1p((docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    mean_words, shards = n_words / docs, max(1, -(-n_bytes // SHARD_BYTES))
-    shared = context.broadcast(idf)  # TERMS numbers, whatever the corpus
-    arrays = {"at": np.int64, "own": np.int32, "terms": np.int32, "first": np.int64, "docs": np.int32, "weights": np.float32}
-
-    def build(table: pa.Table) -> pa.Table:
-        encode = encoder(vocabulary)
-        given = sorted(zip(table["id"].to_pylist(), [b or b"" for b in table["body"].to_pylist()]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        tokens = [np.append(encode(b.decode("utf-8", "replace")), np.uint16(0)) for _, b in given]
-        sizes = np.array([len(t) for t in tokens], np.int32)
-        parts = [x.tobytes() for x in (sizes, np.concatenate(tokens), *postings([b for _, b in given], shared.value, mean_words))]
-        columns = [table["shard"].slice(0, 1).cast(pa.int64()), pa.array([[i for i, _ in given]], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in parts]]
-        return pa.table(columns, names=["shard", "ids", "sizes", "tokens", *arrays])
-
-    dealt = rows.select("*", F.pmod(F.xxhash64("id", "body"), F.lit(shards)).alias("shard"))
-    kinds = "shard long, ids array<long>, " + ", ".join(f"{c} binary" for c in ("sizes", "tokens", *arrays))
-    index = store(dealt.groupBy("shard").applyInArrow(build, kinds), "index")
-    held = {r["shard"]: np.frombuffer(r["sizes"], np.int32) for r in index.select("shard", "sizes").collect()}
-    order = sorted(held)
-    base = dict(zip(order, np.cumsum([0] + [len(held[k]) for k in order]).tolist()))
-    sizes = np.concatenate([held[k] for k in order])
-
-    def ask(seeds: list[int], used: np.ndarray) -> list:
-        if not seeds:
-            return []
-        wanted = np.array(sorted(set(seeds)), np.int64)
-        marks = context.broadcast((wanted, np.packbits(used)))
-
-        def fetch(batches):
-            for batch in batches:
-                for shard, at, own in zip(*[c.to_pylist() for c in batch.columns]):
-                    at, own = np.frombuffer(at, np.int64), np.frombuffer(own, np.int32)
-                    here = wanted_of(marks.value[0], base[shard], len(at) - 1)
-                    terms = [own[at[d] : at[d + 1]].tobytes() for d in here]
-                    yield pa.RecordBatch.from_arrays([pa.array(here + base[shard], pa.int64()), pa.array(terms, pa.binary())], names=["doc", "terms"])
-
-        terms = {r["doc"]: r["terms"] for r in index.select("shard", "at", "own").mapInArrow(fetch, "doc long, terms binary").collect()}
-        queries = context.broadcast([(d, terms[d]) for d in wanted.tolist()])
-
-        def search(batches):
-            for batch in batches:
-                for shard, *parts in zip(*[c.to_pylist() for c in batch.columns]):
-                    at, *lists = [np.frombuffer(x, k) for x, k in zip(parts, (np.int64, np.int32, np.int64, np.int32, np.float32))]
-                    n = len(at) - 1
-                    unused = ~np.unpackbits(marks.value[1])[base[shard] : base[shard] + n].astype(bool)
-                    asked = [np.frombuffer(q, np.int32) for _, q in queries.value]
-                    out = [(seed, *b) for (seed, _), b in zip(queries.value, best_of(asked, *lists, unused))] if unused.any() else []
-                    seed = np.repeat(np.array([s for s, _, _ in out], np.int64), [len(b) for _, b, _ in out]) if out else np.zeros(0, np.int64)
-                    doc, score = [np.concatenate([r[k] for r in out]) if out else np.zeros(0) for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array((doc + base[shard]).astype(np.int64)), pa.array(score.astype(float))], names=["seed", "doc", "score"])
-
-        found = index.select("shard", "at", "terms", "first", "docs", "weights").mapInArrow(search, "seed long, doc long, score double")
-        spot = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "doc"))
-        table = found.withColumn("n", spot).where(F.col("n") <= NEIGHBOURS).orderBy("seed", "n").select("seed", "doc").toArrow()
-        seed, doc = table["seed"].to_numpy(), table["doc"].to_numpy()
-        marks.unpersist()
-        queries.unpersist()
-        return [doc[a:b] for a, b in zip(np.searchsorted(seed, seeds, "left"), np.searchsorted(seed, seeds, "right"))]
-
-    pieces = np.array(grow(sizes, ask), np.int64).T
-    shard = np.array(order, np.int64)[np.searchsorted([base[k] for k in order], pieces[0], "right") - 1]
-    pieces[0] -= np.array([base[k] for k in range(shards) if k in base], np.int64)[np.searchsorted(order, shard)]
     names = ["shard", "doc", "start", "length", "sequence", "offset"]
-    laid = spark.createDataFrame(pa.table([pa.array(x) for x in (shard, *pieces)], names=names))
+    members = store(_members(library), "members")
+    groups = max(1, -(-library.docs // 20000))
+
+    def lay(table: pa.Table) -> pa.Table:
+        chain, *place, doc, size = [table[c].to_numpy() for c in ("chain", "pass_no", "rank", "lead", "doc", "size")]
+        order = np.lexsort((doc, *reversed(place), chain))
+        chain, doc, size = chain[order], doc[order], size[order].astype(np.int64)
+        edges = np.append(np.nonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))[0], len(chain))
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            k, start, length, sequence, offset = cut_chain(size[a:b])
+            own = doc[a:b][k]
+            out.append((own >> _LOCAL, own & ((1 << _LOCAL) - 1), start, length, (chain[a] << _WINDOWS) + sequence, offset))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+    laid = members.withColumn("g", F.pmod(F.xxhash64("chain"), F.lit(groups))).groupBy("g").applyInArrow(lay, ", ".join(f"{c} long" for c in names))
 
     def emit(places: pa.Table, texts: pa.Table) -> pa.Table:
         ids = texts["ids"][0].as_py()
         sizes, tokens = np.frombuffer(texts["sizes"][0].as_py(), np.int32), np.frombuffer(texts["tokens"][0].as_py(), np.uint16)
-        start_of = np.cumsum(sizes) - sizes
+        start_of = np.cumsum(sizes, dtype=np.int64) - sizes
         doc, start, length = [places[c].to_numpy() for c in ("doc", "start", "length")]
-        crc = [zlib.crc32(tokens[a : a + n].astype("<u4").tobytes()) for a, n in zip(start_of[doc] + start, length)]
+        wide = tokens.astype("<u4").tobytes()
+        crc = [zlib.crc32(wide[4 * a : 4 * (a + n)]) for a, n in zip((start_of[doc] + start).tolist(), length.tolist())]
         columns = ([ids[d] for d in doc], start, length, crc, sizes[doc], places["sequence"].to_numpy(), places["offset"].to_numpy())
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return laid.groupBy("shard").cogroup(index.select("shard", "ids", "sizes", "tokens").groupBy("shard")).applyInArrow(emit, COLUMNS)
-
-
-def wanted_of(wanted: np.ndarray, base: int, n: int) -> np.ndarray:
-    """Which of a shard's n documents are wanted; wanted is ascending and counts over all shards."""
-    a, b = np.searchsorted(wanted, [base, base + n])
-    return wanted[a:b] - base
+    held = library.index.select("shard", "ids", "sizes", "tokens")
+    return laid.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(emit, COLUMNS)
