@@ -35,11 +35,11 @@ K1, B = 1.2, 0.75
 #: UTF-8 bytes and documents that a shard holds at most (a longer text is a shard of its own).
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 14
 #: Best unused texts that a seed is told in a pass.
-NEIGHBOURS = 128
+NEIGHBOURS = 64
 #: Terms of seeds, and seeds, that are broadcast at once; documents whose marks are broadcast at once (a bit each).
 BLOCK_TERMS, BLOCK_SEEDS, BLOCK_DOCS = 1 << 22, 1 << 17, 1 << 26
 #: One shard in so many is asked first for a bound of each seed's NEIGHBOURS-th best score.
-SAMPLED_SHARDS = 16
+SAMPLED_SHARDS = 8
 #: Clusters, and the sampled texts (and the longest one) that they are learned from.
 CLUSTERS, SAMPLE_DOCS, SAMPLE_BYTES = 16, 2048, 1 << 16
 #: A seed asks the clusters whose centre is at least this part as near as the nearest.
@@ -81,15 +81,21 @@ def encoder(name: str):
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and i != 50256}
         _loaded[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = _loaded[name]
-    return lambda text: np.array(whole.encode_ordinary(text), np.uint16)
+
+    def encode(text: str) -> np.ndarray:
+        return whole.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+
+    return encode
 
 
 def terms_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed terms of the lower-cased words, distinct and ascending, and how often each stands there."""
-    found = Counter(body.lower().split())
-    crc, mask = zlib.crc32, TERMS - 1
-    terms, back = np.unique(np.fromiter((crc(w) & mask for w in found), np.int32, len(found)), return_inverse=True)
-    return terms, np.bincount(back, np.fromiter(found.values(), np.int64, len(found)), len(terms)).astype(np.int64)
+    words = body.lower().split()
+    found = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & np.uint32(TERMS - 1)
+    found.sort()
+    new = np.flatnonzero(found[1:] != found[:-1]) + 1
+    edges = np.concatenate([[0], new, [len(found)]]) if len(found) else np.zeros(1, np.int64)
+    return found[edges[:-1]].astype(np.int32), np.diff(edges)
 
 
 class Router:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder that the cluster names; a folder of this machine only in local mode, where there is no other."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(named or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/millrace"
 
 
@@ -27,9 +29,24 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(name: str):
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *own) -> DataFrame:
+    """df's columns in one struct named row, beside columns of our own that cannot clash with them."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *own)
+
+
+def unpacked(names: list[str], **instead) -> list:
+    """The columns that packed() put away, in order; instead: other values for some of them."""
+    return [instead.get(c, F.col("row").getField(c)).alias(c) for c in names]
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, so that extra columns of any name cannot clash: id, body (UTF-8 bytes)."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), *more)
+    return df.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("body"), *more)
 
 
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
@@ -53,6 +70,3 @@ def held_out(id_column, modulus: int, remainder: int):
     """Is crc32 of the id's decimal text, modulo modulus, the remainder? False for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
-
-def task_count(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
