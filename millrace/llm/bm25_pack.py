@@ -9,8 +9,8 @@ the last tokens of a chain become sequences whose lengths are powers of two, so
 
 A map over the input writes the index: a row for each shard of bounded size with its postings and token ids, so texts are
 read once. Shards hold texts of one lexical cluster (centres are learned from a bounded sample, every text is dealt). A seed
-asks the shards of all clusters whose centre is at least NEAR_CENTRE times as near as the nearest one; recall against all
-shards is measured in the tests. Frequent terms of a shard are scored by a matrix product, the others by their postings.
+asks the shards of all clusters whose centre is at least NEAR_CENTRE times as near as the nearest one (recall against all
+shards is measured in the tests); texts that no seed takes so are asked for everywhere. Frequent terms of a shard are scored by a matrix product, the others by their postings.
 Equal texts are one text in the index, and its copies follow it, or, where they are many, form chains of their own by shard.
 
 The scored pairs are at most the square of the texts divided by SEED_EVERY.
@@ -101,7 +101,8 @@ def terms_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Router:
     """Lexical clusters of texts: unit vectors of the sample's most frequent terms, grouped by their nearest centre."""
 
-    def __init__(self, bodies: list[bytes], width: int = 1024, rounds: int = 12):
+    def __init__(self, bodies: list[bytes], near: float = NEAR_CENTRE, width: int = 1024, rounds: int = 12):
+        self.near = near
         found = [terms_of(b)[0] for b in bodies]
         df = np.bincount(np.concatenate(found) if found else np.zeros(0, int), minlength=TERMS)
         common = np.argsort(-df, kind="stable")[:width]
@@ -128,7 +129,7 @@ class Router:
     def asked(self, terms: np.ndarray) -> int:
         """The clusters that a seed asks, a bit each."""
         near = self.nearness(terms)
-        return sum(1 << k for k in np.nonzero(near >= NEAR_CENTRE * near.max())[0].tolist())
+        return sum(1 << k for k in np.nonzero(near >= self.near * near.max())[0].tolist())
 
 
 def make_shard(rows: list[tuple], encode) -> dict[str, np.ndarray]:
@@ -147,26 +148,26 @@ def saturated(times: np.ndarray, lengths: np.ndarray, mean: float) -> np.ndarray
     return times * (K1 + 1) / (times + K1 * (1 - B + B * lengths / max(mean, 1e-9)))
 
 
-def best_of(number: np.ndarray, seed: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the NEIGHBOURS best answers of each seed (number: its document), best first, and their ranks.
+def best_of(number: np.ndarray, seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the best answers of each seed, most at most (number: its document), best first, and their ranks.
 
     Equal scores stand in the order of a hash, another one for each seed, so that equal answers do not go to one seed.
     One number holds what is sorted by: 18 bits of the seed's place, 26 of its score, 20 of the hash.
     """
     x = (number[seed].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
     x = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(44)
-    most = (1 << 26) - 1
-    order = np.argsort((seed.astype(np.uint64) << np.uint64(46)) | ((most - np.minimum(score, most)).astype(np.uint64) << np.uint64(20)) | x)
+    top = (1 << 26) - 1
+    order = np.argsort((seed.astype(np.uint64) << np.uint64(46)) | ((top - np.minimum(score, top)).astype(np.uint64) << np.uint64(20)) | x)
     sorted_ = seed[order]
     rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
-    return order[rank < NEIGHBOURS], rank[rank < NEIGHBOURS]
+    return order[rank < most], rank[rank < most]
 
 
 class Search:
     """Answers of shards to a block of seeds, one shard after the other, cut to the best ones of each seed."""
 
-    def __init__(self, number: np.ndarray, clusters: np.ndarray, at: np.ndarray, terms: np.ndarray, bound: np.ndarray, idf: np.ndarray, mean: float):
-        self.number, self.clusters, self.at, self.terms, self.idf, self.mean = number, clusters, at, terms, idf, mean
+    def __init__(self, number: np.ndarray, clusters: np.ndarray, at: np.ndarray, terms: np.ndarray, bound: np.ndarray, idf: np.ndarray, mean: float, most: int):
+        self.number, self.clusters, self.at, self.terms, self.idf, self.mean, self.most = number, clusters, at, terms, idf, mean, most
         self.bound = bound.copy()  # a seed's answers below it are no longer asked for
         self.found: list = []
         self.size = 0
@@ -212,8 +213,8 @@ class Search:
         np.add.at(scores.reshape(-1), docs.take(where) + np.repeat(row * n, sizes), weights.take(where))
         least = np.maximum(1e-6, (self.bound[seeds] - 0.5) / STEPS).astype(np.float32)
         flat = np.flatnonzero(scores >= least[:, None])
-        if n > NEIGHBOURS and len(flat) > 4 * NEIGHBOURS * len(seeds):  # no bound yet: only the best ones of this shard
-            worst = np.partition(scores, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] - 1 / STEPS
+        if n > self.most and len(flat) > 4 * self.most * len(seeds):  # no bound yet: only the best ones of this shard
+            worst = np.partition(scores, n - self.most, axis=1)[:, n - self.most] - 1 / STEPS
             flat = np.flatnonzero(scores >= np.maximum(least, worst)[:, None])
         i, j = np.divmod(flat, n)
         steps = np.floor(scores.reshape(-1)[flat] * STEPS + 0.5).astype(np.int32)
@@ -223,9 +224,9 @@ class Search:
     def cut(self) -> tuple[np.ndarray, ...]:
         """The best answers so far (seed, document, score); raises the bounds."""
         seed, doc, score = [np.concatenate([f[k] for f in self.found]) if self.found else np.zeros(0, np.int64) for k in range(3)]
-        best, rank = best_of(self.number, seed, doc, score)
+        best, rank = best_of(self.number, seed, doc, score, self.most)
         seed, doc, score = seed[best], doc[best], score[best]
-        last = rank == NEIGHBOURS - 1
+        last = rank == self.most - 1
         self.bound[seed[last]] = np.maximum(self.bound[seed[last]], score[last])
         self.found, self.size = [(seed, doc, score)], len(seed)
         return seed, doc, score
@@ -247,7 +248,7 @@ def cut_chain(sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, at - (end - sizes)[doc], length, sequence, at - cuts[sequence]
 
 
-def _write_index(rows: DataFrame, router, vocabulary: str) -> DataFrame:
+def _write_index(rows: DataFrame, router, vocabulary: str, shard_bytes: int) -> DataFrame:
     """rows (id, body) -> a written table with a row for each shard."""
     kinds = "shard long, ids array<long>, keys binary, " + ", ".join(f"{c} binary" for c in _INDEX) + ", cluster int, seeds binary, seed_at binary, seed_terms binary, seed_asks binary"
 
@@ -279,7 +280,7 @@ def _write_index(rows: DataFrame, router, vocabulary: str) -> DataFrame:
                 body = body or b""
                 terms, times = terms_of(body)
                 k = int(router.value.nearness(terms).argmax())
-                if k in open_ and (held[k] + len(body) > SHARD_BYTES or len(open_[k]) == SHARD_DOCS):
+                if k in open_ and (held[k] + len(body) > shard_bytes or len(open_[k]) == SHARD_DOCS):
                     yield flush(k)
                 open_.setdefault(k, []).append((i, body, terms, times))
                 held[k] += len(body)
@@ -339,15 +340,15 @@ def _entries(index: DataFrame) -> DataFrame:
 class Library:
     """The index of a corpus, and what its seeds may ask of it."""
 
-    def __init__(self, rows: DataFrame, vocabulary: str):
-        self.spark = rows.sparkSession
+    def __init__(self, rows: DataFrame, vocabulary: str, neighbours: int = NEIGHBOURS, near: float = NEAR_CENTRE, shard_bytes: int = SHARD_BYTES):
+        self.spark, self.neighbours = rows.sparkSession, neighbours
         context = self.spark.sparkContext
         short = rows.where(F.octet_length("body") <= SAMPLE_BYTES)
         n = short.count()
         rate = int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n)))
         drawn = short.where(F.pmod(F.xxhash64("id", "body", F.lit(11)), F.lit(1 << 30)) < rate).limit(2 * SAMPLE_DOCS).collect()
-        router = Router(sorted(bytes(r["body"]) for r in drawn))
-        self.index = _write_index(rows, context.broadcast(router), vocabulary)
+        router = Router(sorted(bytes(r["body"]) for r in drawn), near)
+        self.index = _write_index(rows, context.broadcast(router), vocabulary, shard_bytes)
         frequency, self.docs, n_words = _statistics(self.index)
         self.mean = n_words / max(1, self.docs)
         self.idf = context.broadcast(np.log1p((self.docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
@@ -392,19 +393,20 @@ class Library:
             out.append((covered, self.spark.sparkContext.broadcast({r["shard"]: r["bits"] for r in rows.where(covered).collect()})))
         return out
 
-    def answers(self, seeds: DataFrame, block: int, marks: list) -> DataFrame:
-        """(seed, doc, rank): the best unused texts of each seed of a block, over all shards."""
-        context, idf, mean = self.spark.sparkContext, self.idf, self.mean
+    def answers(self, seeds: DataFrame, block: int, marks: list, everywhere: bool) -> DataFrame:
+        """(seed, doc, rank, score): the best unused texts of each seed of a block, in the clusters that it asks or everywhere."""
+        context, idf, mean, most = self.spark.sparkContext, self.idf, self.mean, self.neighbours
         held = seeds.where(F.col("block") == block).orderBy("doc").toArrow()
         terms = held["terms"].to_pylist()
         number, at = held["doc"].to_numpy(), np.cumsum([0] + [len(t) // 4 for t in terms])
-        asked = context.broadcast((number, held["asks"].to_numpy(), at, np.frombuffer(b"".join(terms), np.int32)))
+        asks = held["asks"].to_numpy() if not everywhere else np.full(len(number), -1, np.int32)
+        asked = context.broadcast((number, asks, at, np.frombuffer(b"".join(terms), np.int32)))
         columns = ["lengths", "terms", "first", "docs", "times"]
         found = "part int, seed binary, doc binary, score binary"
 
         def search(index, unused, bounds):
             def run(batches):
-                work = Search(*asked.value, bounds.value, idf.value, mean)
+                work = Search(*asked.value, bounds.value, idf.value, mean, most)
                 for batch in batches:
                     for shard, cluster, *parts in zip(*[c.to_pylist() for c in batch.columns]):
                         if shard in unused.value:
@@ -423,7 +425,7 @@ class Library:
 
         def merge(table: pa.Table) -> pa.Table:
             seed, doc, score = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("seed", np.int32), ("doc", np.int64), ("score", np.int32))]
-            best, rank = best_of(asked.value[0], seed, doc, score)
+            best, rank = best_of(asked.value[0], seed, doc, score, most)
             return pa.table([pa.array(asked.value[0][seed[best]]), pa.array(doc[best]), pa.array(rank.astype(np.int32)), pa.array(score[best])], names=["seed", "doc", "rank", "score"])
 
         merged = "seed long, doc long, rank int, score int"
@@ -434,7 +436,7 @@ class Library:
         least = first[0]
         for other in first[1:]:
             least = least.unionAll(other)
-        least = least.groupBy("part").applyInArrow(merge, merged).where(F.col("rank") == NEIGHBOURS - 1).select("seed", "score").toArrow()
+        least = least.groupBy("part").applyInArrow(merge, merged).where(F.col("rank") == most - 1).select("seed", "score").toArrow()
         bound[np.searchsorted(number, least["seed"].to_numpy())] = least["score"].to_numpy()
         bounds = context.broadcast(bound)
         whole = [search(self.index.where(c), u, bounds) for c, u in marks]
@@ -453,10 +455,10 @@ def claims(library: Library) -> DataFrame:
     seeds = library.seeds()
     taken = texts.where("is_seed").select("doc", F.col("doc").alias("chain"), F.lit(-1).alias("pass_no"), F.lit(0).alias("rank"))
     open_ = texts.where("not is_seed").select("doc")
-    number = 0
+    number, everywhere = 0, False
     while open_.limit(1).count():
         marks = library.marks(open_)
-        told = [library.answers(seeds, k, marks) for k in range(library.blocks)]
+        told = [library.answers(seeds, k, marks, everywhere) for k in range(library.blocks)]
         for _, m in marks:
             m.unpersist()
         heard = told[0]
@@ -465,7 +467,10 @@ def claims(library: Library) -> DataFrame:
         won = heard.groupBy("doc").agg(F.min(F.struct("rank", "seed")).alias("w"))
         won = store(won.select("doc", F.col("w.seed").alias("chain"), F.lit(number).alias("pass_no"), F.col("w.rank").alias("rank")), "claims")
         if not won.limit(1).count():
-            break  # what is left shares no term with any seed
+            if everywhere:
+                break  # what is left shares no term with any seed
+            everywhere = True
+            continue
         taken = taken.unionAll(won)
         open_ = store(open_.join(won.select("doc"), "doc", "left_anti"), "open")
         number += 1
@@ -489,13 +494,14 @@ def _members(library: Library) -> DataFrame:
     return along.unionAll(apart).withColumnRenamed("one", "doc")
 
 
-def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_50k.json") -> DataFrame:
+def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_50k.json", **limits) -> DataFrame:
     """A row for each piece of every document. A null text is empty: its document is the end token alone.
 
     Rows with equal ids are packed each for itself. Without any seed each shard's texts are a chain in order. A term's
     count in a text is held up to 65,535. sequence_id has the number of its chain's first document in its high bits.
+    limits: neighbours, near and shard_bytes of Library.
     """
-    library = Library(id_and_text(df, id_col, text_col), vocabulary)
+    library = Library(id_and_text(df, id_col, text_col), vocabulary, **limits)
     spark = library.spark
     if not library.docs:
         return spark.createDataFrame([], COLUMNS)

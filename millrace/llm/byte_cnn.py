@@ -37,14 +37,19 @@ def _windows(raw: np.ndarray, net: dict) -> np.ndarray:
     return sliding_window_view(embedded, EMBED * WIDTH)[::EMBED]
 
 
-def _pooled(raw: np.ndarray, net: dict):
+def _responses(raw: np.ndarray, net: dict, last: np.ndarray) -> np.ndarray:
+    """(chunks, CHUNK, FILTERS); last: chunks that end a text. Their last windows would reach into the next text, so they do not count."""
     response = (np.ascontiguousarray(_windows(raw, net)) @ net["filters"]).reshape(-1, CHUNK, FILTERS)
+    response[last, CHUNK - WIDTH + 1 :] = -1e9
     return response
 
 
 def _laid_out(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each filled with spaces to whole chunks; and chunks of each."""
-    chunks = np.array([max(1, -(-len(b) // CHUNK)) for b in bodies])
+    """Texts one after the other, each with WIDTH - 1 spaces at least and filled with spaces to whole chunks; chunks of each.
+
+    So every byte is in windows that end before the next text, and a score depends on its own text alone.
+    """
+    chunks = np.array([-(-(len(b) + WIDTH - 1) // CHUNK) for b in bodies])
     raw = b"".join([b.ljust(int(c) * CHUNK) for b, c in zip(bodies, chunks)]) + b" " * (WIDTH - 1)
     return np.frombuffer(raw, np.uint8), chunks
 
@@ -52,9 +57,10 @@ def _laid_out(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def chunk_responses(bodies: list[bytes], net: dict) -> tuple[np.ndarray, np.ndarray]:
     """(chunks, FILTERS) rectified pooled responses, in blocks of bounded size, and chunks of each text."""
     raw, chunks = _laid_out(bodies)
-    out = [
-        _pooled(raw[at : at + BLOCK + WIDTH - 1], net).max(1) for at in range(0, len(raw) - WIDTH + 1, BLOCK)
-    ]
+    ends, out = np.cumsum(chunks) - 1, []
+    for at in range(0, len(raw) - WIDTH + 1, BLOCK):
+        own = ends[(ends >= at // CHUNK) & (ends < (at + BLOCK) // CHUNK)] - at // CHUNK
+        out.append(_responses(raw[at : at + BLOCK + WIDTH - 1], net, own).max(1))
     return np.maximum(np.concatenate(out) + net["bias"], 0), chunks
 
 
@@ -70,7 +76,7 @@ def score(bodies: list[bytes], net: dict) -> np.ndarray:
 
 def _gradient(bodies: list[bytes], y: np.ndarray, net: dict) -> dict[str, np.ndarray]:
     raw, chunks = _laid_out(bodies)
-    response = _pooled(raw, net)
+    response = _responses(raw, net, np.cumsum(chunks) - 1)
     place = response.argmax(1)
     top = np.take_along_axis(response, place[:, None], 1)[:, 0] + net["bias"]
     pooled = np.maximum(top, 0)
@@ -132,6 +138,8 @@ def sample(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
 def classify(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; a null text counts as empty and gets a score too.
 
+    Texts may have any length. A document that several labels mark counts as its least label.
+
     Without any label the network stays as it starts and every score is 0.5.
     """
     net = fit(*sample(documents, labels, id_col, text_col))

@@ -5,6 +5,8 @@ Templates are tokenised by the rule that texts are, and become one nondeterminis
 """
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -33,6 +35,55 @@ TEMPLATES = {
     ],
     "cc-by-nc-4.0-notice": ["licensed under [[a]] [[Creative Commons]] CC BY-NC 4.0 [[{{1..2}} license]]"],
     "cc-by-4.0-notice": ["licensed under [[a]] [[Creative Commons]] CC BY 4.0 [[{{1..2}} license]]"],
+    "mit-text": [
+        """[[MIT license]] [[copyright {{1..12}}]] permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files [[(the "software")]], to deal in the software without restriction, including without limitation the rights to use,
+        copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished
+        to do so, subject to the following conditions: the above copyright notice and this permission notice [[(including the next paragraph)]] shall be
+        included in all copies or substantial portions of the software. the software is provided "as is", without warranty of any kind, express or implied,
+        including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall {{1..8}} be
+        liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with
+        the software or the use or other dealings in the software"""
+    ],
+    "isc-text": [
+        """permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. the software is provided "as is" and {{1..6}} disclaims all warranties with regard
+        to this software including all implied warranties of merchantability and fitness. in no event shall {{1..6}} be liable for any special, direct,
+        indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract,
+        negligence or other tortious action, arising out of or in connection with the use or performance of this software"""
+    ],
+    "apache-2.0-header": [
+        """licensed under the Apache License, version 2.0 (the "license"); you may not use this file except in compliance with the license. you may obtain
+        a copy of the license at [[http]] [[https]] www.apache.org/licenses/license-2.0 [[.html]] unless required by applicable law or agreed to in writing,
+        software distributed under the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied.
+        see the license for the specific language governing permissions and limitations under the license"""
+    ],
+    "gpl-2.0-or-later-header": [
+        """this {{1..4}} is free software[[;]] you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation; either version 2 of the license, or (at your option) any later version"""
+    ],
+    "gpl-3.0-or-later-header": [
+        """this {{1..4}} is free software[[;]] you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation, either version 3 of the license, or (at your option) any later version"""
+    ],
+    "lgpl-2.1-or-later-header": [
+        """this {{1..4}} is free software[[;]] you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published
+        by the Free Software Foundation; either version 2.1 of the license, or (at your option) any later version"""
+    ],
+    "bsd-2-clause-text": [
+        """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+        [[1]] redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+        [[2]] redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution this software is provided by {{1..8}} "as is" and any express or implied
+        warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"""
+    ],
+    "bsd-3-clause-text": [
+        """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+        [[1]] redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+        [[2]] redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution [[3]] neither the name of {{1..8}} nor the names of its contributors may be used
+        to endorse or promote products derived from this software without specific prior written permission"""
+    ],
     "bsd-notice": ["redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
 }
 _SPACED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -123,10 +174,13 @@ def scan(body: bytes | None, phrases: list[tuple[bytes, str]], automaton: Automa
     words = words_of(body)
     base, own = [], []
     joined = b" " + b" ".join(words) + b" " if body else b""
+    starts = None
     for phrase, label in phrases:
         at = joined.find(b" " + phrase + b" ")
         while at >= 0:
-            base.append((joined.count(b" ", 0, at), label))
+            if starts is None:  # where each word stands in joined, counted once
+                starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+            base.append((bisect_left(starts, at), label))
             at = joined.find(b" " + phrase + b" ", at + 1)
     if any(a in joined for a in automaton.anchors):
         own = automaton.matches(words)
@@ -138,7 +192,8 @@ def scan(body: bytes | None, phrases: list[tuple[bytes, str]], automaton: Automa
 
 
 def license_scan(df: DataFrame, id_col="doc_id", text_col="text", phrases=None, templates=None) -> DataFrame:
-    """Every row's base places and labels. A null or empty text has no words, no places and empty labels.
+    """Every row's base places and labels. A null or empty text has no words, no places and empty labels. Texts may have
+    any length; repeated rows are each told for themselves.
 
     score: 1 where a template accepts a stretch of the text, 0.5 where only a base phrase stands, else 0.
     n_template: accepted stretches.

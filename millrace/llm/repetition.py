@@ -7,7 +7,6 @@ equal hashes mark the words that the windows cover.
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from millrace.llm.common import id_and_text, map_rows
 
@@ -57,7 +56,9 @@ def measure(body: bytes | None) -> tuple:
     n_symbols = len(body) - len(body.translate(None, SYMBOLS))
     distinct = set(lines)
     n_dup_lines = len(lines) - len(distinct)
-    line_share = 1 - sum(map(len, distinct)) / max(1, sum(map(len, lines))) if n_dup_lines else 0.0
+    line_share = 0.0
+    if n_dup_lines:
+        line_share = 1 - sum(len(x.decode("utf-8", "replace")) for x in distinct) / sum(len(x.decode("utf-8", "replace")) for x in lines)
     known: dict[bytes, int] = {}
     ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
     n, n_repeat, shares = len(words), 0, dict.fromkeys(NGRAM_SHARES, 0.0)
@@ -109,4 +110,5 @@ def keep_good(df: DataFrame, text_col="text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([judge(None if x is None else x.encode())[6] for x in batch.column(place).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema).select(*[F.col(f"`{c}`") for c in names])
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])  # Arrow maps take no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
