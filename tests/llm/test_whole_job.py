@@ -46,6 +46,9 @@ def near_texts():
                 for at in rng.sample(range(size), edits):
                     copy[at] = rng.choice(words)
                 texts.append(" ".join(copy))
+    for size in (1100, 1025):  # sketches of two sizes
+        base = rng.choices(words, k=size)
+        texts += [" ".join(base), " ".join(base[: size - 90]), " ".join(base[:-90] + rng.choices(words, k=90)), " ".join(rng.choices(words, k=size))]
     passage = " ".join(rng.choices(words, k=40))
     texts += [passage + " " + " ".join(rng.choices(words, k=30)) for _ in range(30)]
     return texts + [texts[0], texts[0].upper(), "", None, " ", "one two", "One two"]
