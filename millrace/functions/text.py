@@ -4,6 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+#: Characters that count as white space; letters that case folding turns into others.
+SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+FOLDED = {"ß": "ss", "ς": "σ"}
+#: A word between white space.
+SPACED = f"[^{SPACE}]+"
 
 
 def stable_hash(*parts) -> Column:
@@ -17,13 +22,22 @@ def unit_draw(*parts) -> Column:
     return (stable_hash(*parts) % 10000).cast("double") / 10000
 
 
-def hash_split(key: Column, validation: float = 0.05, test: float = 0.05) -> Column:
+def hash_split(key: Column, validation: float = 0.03, test: float = 0.05) -> Column:
+    """The split that a row's content falls to; equal contents fall to the same one."""
     u = unit_draw("split", key)
     return F.when(u < test, "test").when(u < test + validation, "val").otherwise("train")
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE))
+
+
 def state_key(text: Column) -> Column:
-    return F.sha1(F.lower(F.trim(text)).cast("binary"))
+    """A hash of the text without outer white space, case folded (lower case, and what folds to other letters)."""
+    folded = F.lower(stripped(text))
+    for letter, other in FOLDED.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(other))
+    return F.sha1(folded.cast("binary"))
 
 
 def words(text: Column) -> Column:
@@ -39,18 +53,22 @@ def shingles(tokens: Column, width: int = 5) -> Column:
     )
 
 
+def paragraphs(text: Column) -> Column:
+    """Lines that are not blank, runs of blanks and tabs squeezed, outer white space gone."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda p: stripped(F.regexp_replace(p, "[ \t]+", " "))), lambda p: F.length(p) > 0)
+
+
 def clean_prose(text: Column) -> Column:
-    """Mostly letters, few short lines, at most one link, no pipe, paragraphs of 12 words or more on average."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    n = F.size(lines)
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 40))
-    n_words = F.regexp_count(text, F.lit(r"\S+"))
+    """Mostly letters, few paragraphs under 4 words, at most one link, no pipe, 12 words or more a paragraph on average."""
+    parts = paragraphs(text)
+    joined, n = F.array_join(parts, " "), F.size(parts)
+    letters = F.length(joined) - F.length(F.regexp_replace(joined, r"\p{L}", ""))
+    short = F.size(F.filter(parts, lambda p: F.regexp_count(p, F.lit(SPACED)) < 4))
     return (
-        (letters.cast("double") > F.length(text) * 0.72)
+        (n > 0)
+        & (letters.cast("double") > F.length(joined) * 0.72)
         & (short.cast("double") < n * 0.4)
-        & (F.regexp_count(text, F.lit("http")) < 2)
-        & ~F.contains(text, F.lit("|"))
-        & (n_words.cast("double") >= n * 12.0)
-        & (n > 0)
+        & (F.regexp_count(joined, F.lit("http")) < 2)
+        & ~F.contains(joined, F.lit("|"))
+        & (F.regexp_count(joined, F.lit(SPACED)).cast("double") >= n * 12.0)
     )

@@ -9,7 +9,7 @@ from millrace.functions.text import clean_prose, hash_split, shingles, stable_ha
 
 def reject_reasons(docs: DataFrame) -> DataFrame:
     """One row per document: split, and the first reason to reject it (null: it is kept)."""
-    base = docs.select("doc_id", "source", hash_split(F.col("doc_id")).alias("split"), state_key(F.col("text")).alias("k"), clean_prose(F.col("text")).alias("clean"))
+    base = docs.select("doc_id", "source", hash_split(F.col("text")).alias("split"), state_key(F.col("text")).alias("k"), clean_prose(F.col("text")).alias("clean"))
     rank = F.when(F.col("split") == "test", 0).when(F.col("split") == "val", 1).otherwise(2)
     first_split = F.min("r").over(W.partitionBy("k"))
     nth = F.row_number().over(W.partitionBy("k", "split").orderBy("doc_id"))

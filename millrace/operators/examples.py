@@ -95,10 +95,13 @@ def supported(evidence: Column, state: Column, evidence_words: Column, state_wor
     return F.contains(F.lower(state), F.lower(evidence)) | ((F.size(evidence_words) > 0) & (found >= F.size(evidence_words) * share))
 
 
-def agreed_score(a: Column, b: Column, low: float, high: float, step: float) -> Column:
-    """The mean of two scores within 15 % of the range, or one step where that is more; null if they differ by more."""
-    room = max(0.15 * (high - low), step)
-    return F.when(F.abs(a - b) <= room, (a + b) / 2)
+def agreed_score(a: Column, b: Column, low: float, high: float, one_step: bool = False) -> Column:
+    """The mean of two scores within 15 % of the range, kept inside it; null if they differ by more.
+
+    one_step: on ranges up to 10 a difference of 1 agrees too.
+    """
+    room = max(0.15 * (high - low), 1.0 if one_step and high - low <= 10 else 0.0)
+    return F.when(F.abs(a - b) <= room, F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), (a + b) / 2)))
 
 
 def greedy_rows(df: DataFrame, block: Column, order: str, size: str, room: int) -> DataFrame:

@@ -96,20 +96,28 @@ def aurc(records: DataFrame) -> DataFrame:
 
 
 def cascade(small: DataFrame, large: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Answers of small below a confidence go to large: share sent and accuracy for each threshold."""
-    both = small.select("doc_id", "gold", "confidence", F.col("decision").alias("s")).join(large.select("doc_id", F.col("decision").alias("l")), "doc_id")
-    sent = F.col("confidence") < F.col("t")
+    """Questions with a gold label whose best label small gives less than a threshold go to large: share sent, accuracy of the best labels."""
+    asked = small.where(F.col("gold") != NULL).select("doc_id", "gold", F.greatest("p_good", "p_bad").alias("top"), F.col("forced").alias("s"))
+    both = asked.join(large.select("doc_id", F.col("forced").alias("l")), "doc_id")
+    sent = F.col("top") < F.col("t")
     rows = both.withColumn("t", F.explode(F.array(*map(F.lit, thresholds))))
     return rows.groupBy("t").agg(
         F.count("*").alias("n"), _mean(sent).alias("sent"), _mean(F.when(sent, F.col("l")).otherwise(F.col("s")) == F.col("gold")).alias("accuracy")
     )
 
 
+def fit_null_threshold(sweep: DataFrame, least: float = 0.9) -> DataFrame:
+    """The row of a sweep to use: among those precise enough the most accurate, then the nearest to one half; else the most precise."""
+    enough = F.col("precision") >= least
+    order = [enough.desc(), F.when(enough, 0.0).otherwise(F.col("precision")).desc(), F.desc("accuracy"), F.when(enough, F.round(F.abs(F.col("t") - 0.5), 6)).otherwise(0.0), "t"]
+    return sweep.orderBy(*order).limit(1)
+
+
 def threshold_sweep(records: DataFrame, thresholds: list[float]) -> DataFrame:
     """For each null threshold the decision accuracy and abstention precision (1 when nobody abstains)."""
     rows = records.withColumn("t", F.explode(F.array(*map(F.lit, thresholds))))
     out = F.col("p_null") >= F.col("t")
-    right = F.when(out, F.col("gold") == NULL).otherwise(F.col("forced") == F.col("gold"))
+    right = F.when(out, F.col("gold") == NULL).otherwise((F.col("gold") != NULL) & (F.col("forced") == F.col("gold")))
     precision = F.avg(F.when(out, (F.col("gold") == NULL).cast("double")))
     return rows.groupBy("t").agg(_mean(right).alias("accuracy"), F.round(F.coalesce(precision, F.lit(1.0)), 6).alias("precision"))
 

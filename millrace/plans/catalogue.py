@@ -3,11 +3,13 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import hash_split, stable_hash, unit_draw, words
+from millrace.functions.text import SPACE, SPACED, hash_split, stable_hash, unit_draw, words
 from millrace.operators import build, jobs, metrics
 
 QUERIES, SQL = {}, {}
-THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: Thresholds of the null answer, and of the confidence from which a cascade does not ask on.
+THRESHOLDS = [round(0.05 * k, 2) for k in range(6, 20)]
+CASCADE = [0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.01]
 PRICES = [("click", 0.5), ("view", 0.1), ("purchase", 2.0), ("error", 1.0)]
 
 
@@ -30,12 +32,13 @@ def _u(*parts):
     return f"({_h(*parts)} % 10000)::DOUBLE / 10000"
 
 
-_SPLIT = f"CASE WHEN {_u(repr('split'), 'doc_id')} < 0.05 THEN 'test' WHEN {_u(repr('split'), 'doc_id')} < 0.1 THEN 'val' ELSE 'train' END"
-_CLEAN = r"""(length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) > length(text) * 0.72
-  AND len(list_filter(ls, lambda x: length(x) < 40)) < len(ls) * 0.4 AND len(regexp_extract_all(text, 'http')) < 2
-  AND NOT contains(text, '|') AND len(regexp_extract_all(text, '\S+')) >= len(ls) * 12.0 AND len(ls) > 0)"""
-_REASONS = f"""base AS (SELECT *, {_CLEAN} AS clean FROM (SELECT doc_id, source, text, {_SPLIT} AS split, sha1(lower(trim(text, ' '))) AS k,
-    list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0) AS ls FROM documents) t),
+_SPLIT = f"CASE WHEN {_u(repr('split'), 'text')} < 0.05 THEN 'test' WHEN {_u(repr('split'), 'text')} < 0.08 THEN 'val' ELSE 'train' END"
+_KEY = f"replace(replace(lower(trim(text, '{SPACE}')), 'ß', 'ss'), 'ς', 'σ')"
+_CLEAN = rf"""(len(ls) > 0 AND length(j) - length(regexp_replace(j, '\p{{L}}', '', 'g')) > length(j) * 0.72
+  AND len(list_filter(ls, lambda x: len(regexp_extract_all(x, '{SPACED}')) < 4)) < len(ls) * 0.4 AND len(regexp_extract_all(j, 'http')) < 2
+  AND NOT contains(j, '|') AND len(regexp_extract_all(j, '{SPACED}')) >= len(ls) * 12.0)"""
+_REASONS = f"""base AS (SELECT *, {_CLEAN} AS clean FROM (SELECT *, array_to_string(ls, ' ') AS j FROM (SELECT doc_id, source, text, {_SPLIT} AS split, sha1({_KEY}) AS k,
+    list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '[ \t]+', ' ', 'g'), '{SPACE}')), lambda x: length(x) > 0) AS ls FROM documents) s) t),
   ranked AS (SELECT *, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS r FROM base),
   marked AS (SELECT *, min(r) OVER (PARTITION BY k) AS f, row_number() OVER (PARTITION BY k, split ORDER BY doc_id) AS n FROM ranked),
   reasons AS (SELECT doc_id, source, split, CASE WHEN f < r THEN 'leak' WHEN n > 1 THEN 'duplicate' WHEN NOT clean THEN 'not_prose' END AS reason FROM marked)"""
@@ -71,7 +74,7 @@ def reject_reasons(t):
 
 @query(f"SELECT {_SPLIT} AS split, count(*) AS n FROM documents GROUP BY ALL")
 def hash_split_counts(t):
-    return t("documents").groupBy(hash_split(F.col("doc_id")).alias("split")).agg(F.count("*").alias("n"))
+    return t("documents").groupBy(hash_split(F.col("text")).alias("split")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) t WHERE n = 1")
@@ -79,11 +82,12 @@ def exact_dedupe(t):
     return build.first_per_key(t("documents").select("doc_id", F.sha2("text", 256).alias("k")), ["k"], "doc_id").select("doc_id")
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND lower(trim(text, ' ')) NOT IN
-    (SELECT lower(trim(text, ' ')) FROM documents WHERE doc_id % 3 <> 0)""")
+@query(f"""WITH d AS (SELECT doc_id, {_SPLIT} AS split, {_KEY} AS k FROM documents)
+  SELECT doc_id FROM d WHERE split = 'train' AND k NOT IN (SELECT k FROM d WHERE split <> 'train')""")
 def leak_anti_join(t):
-    docs = t("documents")
-    return build.without_states_of(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")).select("doc_id")
+    """Training documents whose state is in no other split."""
+    docs = t("documents").withColumn("split", hash_split(F.col("text")))
+    return build.without_states_of(docs.where("split = 'train'"), docs.where("split <> 'train'")).select("doc_id")
 
 
 @query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_h(repr('s'), 'doc_id')}, doc_id) AS n FROM documents) t WHERE n <= 20")
@@ -219,20 +223,30 @@ def metric_aurc(t):
     return metrics.aurc(_rec(t))
 
 
-@query(f"""WITH a AS {_records('a')}, b AS {_records('b')}, t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS t)
-  SELECT t, count(*) AS n, round(avg((a.confidence < t)::INT::DOUBLE), 6) AS sent, round(avg((CASE WHEN a.confidence < t THEN b.decision ELSE a.decision END = a.gold)::INT::DOUBLE), 6) AS accuracy
-  FROM a JOIN b USING (doc_id), t GROUP BY t""")
+@query(f"""WITH a AS {_records('a')}, b AS {_records('b')}, t AS (SELECT unnest({CASCADE}::DOUBLE[]) AS t)
+  SELECT t, count(*) AS n, round(avg((greatest(a.p_good, a.p_bad) < t)::INT::DOUBLE), 6) AS sent,
+    round(avg((CASE WHEN greatest(a.p_good, a.p_bad) < t THEN b.forced ELSE a.forced END = a.gold)::INT::DOUBLE), 6) AS accuracy
+  FROM a JOIN b USING (doc_id), t WHERE a.gold <> '__NULL__' GROUP BY t""")
 def cascade_curve(t):
-    return metrics.cascade(_rec(t), _rec(t, "b"), THRESHOLDS)
+    return metrics.cascade(_rec(t), _rec(t, "b"), CASCADE)
 
 
-@query(f"""WITH a AS {_records('a')}, t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS t) SELECT t,
-  round(avg((CASE WHEN p_null >= t THEN gold = '__NULL__' ELSE forced = gold END)::INT::DOUBLE), 6) AS accuracy,
-  round(coalesce(avg((gold = '__NULL__')::INT::DOUBLE) FILTER (p_null >= t), 1), 6) AS precision FROM a, t GROUP BY t""")
+_SWEEP = f"""SELECT t, avg((CASE WHEN p_null >= t THEN gold = '__NULL__' ELSE gold <> '__NULL__' AND forced = gold END)::INT::DOUBLE) AS accuracy,
+  coalesce(avg((gold = '__NULL__')::INT::DOUBLE) FILTER (p_null >= t), 1) AS precision FROM {_records('a')} a, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS t) g GROUP BY t"""
+
+
+@query(f"SELECT t, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision FROM ({_SWEEP}) s")
 def threshold_sweep(t):
     return metrics.threshold_sweep(_rec(t), THRESHOLDS)
 
 
+@query(f"""SELECT t, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision FROM ({_SWEEP}) s ORDER BY round(precision, 6) >= 0.9e0 DESC,
+  CASE WHEN round(precision, 6) >= 0.9e0 THEN 0 ELSE round(precision, 6) END DESC, round(accuracy, 6) DESC,
+  CASE WHEN round(precision, 6) >= 0.9e0 THEN round(abs(t - 0.5e0), 6) ELSE 0 END, t LIMIT 1""")
+def null_threshold_fit(t):
+    return metrics.fit_null_threshold(metrics.threshold_sweep(_rec(t), THRESHOLDS))
+
+
 def _agreement_sql(size):
     return f"""SELECT count(*) AS n_groups, round(avg(r::DOUBLE), 6) AS all_right, round(avg((k = 1)::INT::DOUBLE), 6) AS same_answer FROM (
       SELECT doc_id // {size} AS g, count(*) AS n, min((decision = gold)::INT) AS r, count(DISTINCT decision) AS k FROM {_records('a')} x GROUP BY 1) y WHERE n = {size}"""

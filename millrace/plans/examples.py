@@ -99,13 +99,14 @@ def evidence_supported(t):
 @query(f"SELECT doc_id, CASE WHEN abs(a - b) <= 1.5e0 THEN round((a + b) / 2, 6) END AS score FROM (SELECT doc_id, 10 * {_u(repr('r1'), 'doc_id')} AS a, 10 * {_u(repr('r2'), 'doc_id')} AS b FROM documents) x")
 def agreed_scores(t):
     a, b = (10 * unit_draw(r, F.col("doc_id")) for r in ("r1", "r2"))
-    return t("documents").select("doc_id", a.alias("a"), b.alias("b")).select("doc_id", F.round(examples.agreed_score(F.col("a"), F.col("b"), 0, 10, 1), 6).alias("score"))
+    return t("documents").select("doc_id", a.alias("a"), b.alias("b")).select("doc_id", F.round(examples.agreed_score(F.col("a"), F.col("b"), 0, 10), 6).alias("score"))
 
 
-@query(f"SELECT doc_id FROM {_records('a')} r WHERE CASE WHEN gold = '__NULL__' THEN decision <> gold ELSE decision <> gold OR confidence < 0.6e0 END")
+@query(f"SELECT doc_id FROM {_records('a')} r WHERE decision <> gold OR CASE WHEN gold = '__NULL__' THEN p_null ELSE confidence END < 0.6e0")
 def hard_questions(t):
     wrong = F.col("decision") != F.col("gold")
-    return _rec(t).where(wrong | ((F.col("gold") != "__NULL__") & (F.col("confidence") < 0.6))).select("doc_id")
+    sure = F.when(F.col("gold") == "__NULL__", F.col("p_null")).otherwise(F.col("confidence"))
+    return _rec(t).where(wrong | (sure < 0.6)).select("doc_id")
 
 
 @query("""WITH RECURSIVE o AS (SELECT doc_id, doc_id // 64 AS block, n_chars AS s, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) AS n FROM documents),

@@ -19,3 +19,23 @@ def test_short_items_are_looked_for_in_short_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "a short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in QUERIES["benchmark_leaks"](spark, str(tmp_path)).collect()] == [(7, 2, 0)]
+
+
+def test_rules_of_splits_states_and_agreement(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions.text import clean_prose, hash_split, stable_hash, state_key
+    from millrace.operators import examples
+
+    one = spark.range(1)
+    assert one.select(stable_hash("split", F.lit("héllo"))).first()[0] == 6768968585743494535
+    keys = spark.range(20000).select(hash_split(F.col("id")).alias("s")).groupBy("s").count().collect()
+    share = {r["s"]: r["count"] / 20000 for r in keys}
+    assert 0.04 < share["test"] < 0.06 and 0.02 < share["val"] < 0.04
+    states = spark.createDataFrame([(" Straße\n",), ("\tSTRASSE",), ("strasse ",)], "t string").select(state_key(F.col("t"))).distinct()
+    assert states.count() == 1
+    agreed = [examples.agreed_score(F.lit(a), F.lit(b), low, high, step) for a, b, low, high, step in [(6.0, 7.0, 0, 10, False), (2.0, 7.0, 0, 10, False), (3.0, 4.0, 1, 5, False), (3.0, 4.0, 1, 5, True)]]
+    assert list(one.select(*[c.alias(f"c{k}") for k, c in enumerate(agreed)]).first()) == [6.5, None, None, 3.5]
+    prose = " ".join(["word"] * 14)
+    rows = spark.createDataFrame([(prose,), (prose + "\none two three",), (prose + " | x",), ("",), (prose + "\n\n" + prose + "\nmenu",)], "t string")
+    assert [r[0] for r in rows.select(clean_prose(F.col("t"))).collect()] == [True, False, False, False, False]
