@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def negative_log_likelihood(logits: Column, gold: Column, temperature) -> Column:
@@ -50,29 +51,65 @@ def log_beta_density(x: float, a: float, b: float) -> float:
     return (a - 1) * math.log(x) + (b - 1) * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
 
 
-def beta_share(x: float, a: float, b: float) -> float:
+_U = np.linspace(0, 1, 2049)
+_SIMPSON = np.where(np.arange(2049) % 2 == 1, 4.0, 2.0)
+_SIMPSON[[0, -1]] = 1.0
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x])
+
+
+def _lower_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # t = x * u ** (3 / a) makes the integral x ** a / a * mean over u of (1 - t) ** (b - 1) * 3 u ** 2
+    t = x[:, None] * (_U**3)[None, :] ** (1 / a)[:, None]
+    f = (1 - t) ** (b - 1)[:, None] * (3 * _U**2)[None, :]
+    log_gammas = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+    return np.exp(a * np.log(x) - np.log(a) + log_gammas) * (f @ _SIMPSON) / (3 * (len(_U) - 1))
+
+
+def beta_shares(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The regularised incomplete beta function, by Simpson's rule on a substitution that removes the end poles."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > a / (a + b):
-        return 1 - beta_share(1 - x, b, a)
-    # t = x * u ** (1 / a) makes the integral x ** a / a * mean over u of (1 - t) ** (b - 1)
-    u = np.linspace(0, 1, 2049)
-    v = u**3  # more points near 0, where the power bends
-    t = x * v ** (1 / a)
-    f = (1 - t) ** (b - 1) * 3 * u**2
-    weights = np.full(len(u), 2.0)
-    weights[1::2], weights[[0, -1]] = 4.0, 1.0
-    integral = float(f @ weights) / (3 * (len(u) - 1))
-    return math.exp(a * math.log(x) - math.log(a) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) * integral
+    x, a, b = (np.asarray(v, dtype=float) for v in (x, a, b))
+    out = (x >= 1).astype(float)
+    inside = (x > 0) & (x < 1)
+    flip = x > a / (a + b)
+    for side, args in ((inside & ~flip, (x, a, b)), (inside & flip, (1 - x, b, a))):
+        if side.any():
+            share = _lower_share(*(v[side] for v in args))
+            out[side] = share if args[0] is x else 1 - share
+    return out
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    return float(beta_shares(np.array([x]), np.array([a]), np.array([b]))[0])
+
+
+def beta_quantiles(p: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
+    """Bisection on whole arrays, a block of rows at a time."""
+    out = np.empty(len(p))
+    for i in range(0, len(p), block):
+        part = slice(i, i + block)
+        low, high = np.zeros(len(p[part])), np.ones(len(p[part]))
+        for _ in range(60):
+            mid = (low + high) / 2
+            less = beta_shares(mid, a[part], b[part]) < p[part]
+            low, high = np.where(less, mid, low), np.where(less, high, mid)
+        out[part] = (low + high) / 2
+    return out
 
 
 def beta_quantile(p: float, a: float, b: float) -> float:
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if beta_share(mid, a, b) < p else (low, mid)
-    return (low + high) / 2
+    return float(beta_quantiles(*(np.array([float(v)]) for v in (p, a, b)))[0])
+
+
+@F.pandas_udf(DoubleType())
+def _quantiles(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    columns = [np.asarray(v, dtype=float) for v in (p, a, b)]
+    whole = ~np.isnan(np.stack(columns)).any(axis=0) & (columns[1] > 0) & (columns[2] > 0)
+    out = np.full(len(p), np.nan)
+    out[whole] = beta_quantiles(*(v[whole] for v in columns))
+    return pd.Series(out)
 
 
 def beta_nll(x: Column, mu: Column, kappa: Column) -> Column:
@@ -81,8 +118,7 @@ def beta_nll(x: Column, mu: Column, kappa: Column) -> Column:
 
 
 def beta_interval(mu: Column, kappa: Column, share: float = 0.9) -> tuple[Column, Column]:
-    quantile = _by_pandas(beta_quantile)
-    return tuple(quantile(F.lit(p), mu * kappa, (1 - mu) * kappa) for p in ((1 - share) / 2, (1 + share) / 2))
+    return tuple(_quantiles(F.lit(p), mu * kappa, (1 - mu) * kappa) for p in ((1 - share) / 2, (1 + share) / 2))
 
 
 def squeeze(unit: Column, n: int = 100) -> Column:
