@@ -34,10 +34,7 @@ def stripped(text: Column) -> Column:
 
 def state_key(text: Column) -> Column:
     """A hash of the text without outer white space, case folded (lower case, and what folds to other letters)."""
-    folded = F.lower(stripped(text))
-    for letter, other in FOLDED.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(other))
-    return F.sha1(folded.cast("binary"))
+    return F.sha1(folded(stripped(text)).cast("binary"))
 
 
 def words(text: Column) -> Column:
@@ -72,3 +69,49 @@ def clean_prose(text: Column) -> Column:
         & ~F.contains(joined, F.lit("|"))
         & (F.regexp_count(joined, F.lit(SPACED)).cast("double") >= n * 12.0)
     )
+
+#: Typographic characters and the plain ones they stand for.
+TYPOGRAPHY = {"-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "'": "\u2018\u2019\u201a\u2032", '"': "\u201c\u201d\u201e\u2033", " ": "\u00a0\u2007\u2009\u202f\u200b"}
+ELLIPSIS = "\u2026"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, and what case folding turns into other letters."""
+    out = F.lower(text)
+    for letter, other in FOLDED.items():
+        out = F.replace(out, F.lit(letter), F.lit(other))
+    return out
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of white space as one space, none outside."""
+    return stripped(F.regexp_replace(text, f"[{SPACE}]+", " "))
+
+
+def normalised(text: Column) -> Column:
+    """For quotes: plain typography, JSON punctuation as spaces, white space squeezed, case folded."""
+    marks = "".join(TYPOGRAPHY.values())
+    plain = "".join(k * len(v) for k, v in TYPOGRAPHY.items())
+    out = F.replace(F.translate(text, marks, plain), F.lit(ELLIPSIS), F.lit("..."))
+    return folded(squeezed(F.regexp_replace(out, r'[{}\[\]":,]', " ")))
+
+
+def cleaned_name(text: Column, most: int = 120) -> Column:
+    """White space squeezed, outer dots gone, at most that many characters."""
+    return F.substring(F.btrim(squeezed(text), F.lit(".")), 1, most)
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words joined by single spaces; what stands between words is gone."""
+    return stripped(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")))
+
+
+def without_fences(text: Column) -> Column:
+    """A text without the code fence around it."""
+    return F.regexp_replace(stripped(text), r"^```(?:json)?\s*|\s*```$", "")
+
+
+def min_hashes(tokens: Column, n: int = 64, width: int = 5) -> Column:
+    """n least hashes of the shingles, each by its own seed. Project the tokens first."""
+    hashes = F.transform(shingles(tokens, width), lambda s: F.xxhash64(s))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, p))))

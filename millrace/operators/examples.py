@@ -85,16 +85,6 @@ def variants(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*made)))
 
 
-def content_words(text: Column, least: int = 3) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")), lambda w: F.length(w) >= least)
-
-
-def supported(evidence: Column, state: Column, evidence_words: Column, state_words: Column, share: float = 0.8) -> Column:
-    """The state holds the evidence, or that share of its content words, repeats counted."""
-    found = F.size(F.filter(evidence_words, lambda w: F.array_contains(state_words, w))).cast("double")
-    return F.contains(F.lower(state), F.lower(evidence)) | ((F.size(evidence_words) > 0) & (found >= F.size(evidence_words) * share))
-
-
 def agreed_score(a: Column, b: Column, low: float, high: float, one_step: bool = False) -> Column:
     """The mean of two scores within 15 % of the range, kept inside it; null if they differ by more.
 

@@ -42,3 +42,16 @@ def cue_words(rows: DataFrame, words: str, label: str, least: int = 5) -> DataFr
     per = each.groupBy("word", "label").agg(F.count("*").alias("n"))
     total = per.groupBy("word").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     return total.where(F.col("n") >= least).select("word", "n", F.round(F.col("most") / F.col("n"), 6).alias("purity"))
+
+
+def run_energy(samples: DataFrame, run: str, ts: str, watts: str) -> DataFrame:
+    """(run, hours, kwh): wall time from a run's first to its last sample, times its mean power."""
+    seconds = (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / 1e6
+    hours = seconds / 3600
+    return samples.groupBy(run).agg(F.round(hours, 6).alias("hours"), F.round(hours * F.avg(watts) / 1000, 6).alias("kwh"))
+
+
+def cost_sets(log: DataFrame) -> DataFrame:
+    """Jobs and tokens by role, by day, and in all."""
+    days = log.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return days.groupingSets([["role"], ["day"], []], "role", "day").agg(F.count("*").alias("n"), F.round(F.sum("tokens"), 4).alias("tokens"))

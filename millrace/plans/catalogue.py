@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACE, SPACED, hash_split, stable_hash, unit_draw, words
+from millrace.functions.text import ELLIPSIS, SPACE, SPACED, TYPOGRAPHY, hash_split, stable_hash, unit_draw, words
 from millrace.operators import build, jobs, metrics
 
 QUERIES, SQL = {}, {}
@@ -32,6 +32,13 @@ def _u(*parts):
     return f"({_h(*parts)} % 10000)::DOUBLE / 10000"
 
 
+def normalised_sql(text):
+    marks = "".join(TYPOGRAPHY.values())
+    plain = "".join(k * len(v) for k, v in TYPOGRAPHY.items()).replace("'", "''")
+    spaced = f"""regexp_replace(replace(translate({text}, '{marks}', '{plain}'), '{ELLIPSIS}', '...'), '[{{}}\\[\\]":,]', ' ', 'g')"""
+    return f"replace(replace(lower(trim(regexp_replace({spaced}, '[{SPACE}]+', ' ', 'g'), '{SPACE}')), 'ß', 'ss'), 'ς', 'σ')"
+
+
 _SPLIT = f"CASE WHEN {_u(repr('split'), 'text')} < 0.05 THEN 'test' WHEN {_u(repr('split'), 'text')} < 0.08 THEN 'val' ELSE 'train' END"
 _KEY = f"replace(replace(lower(trim(text, '{SPACE}')), 'ß', 'ss'), 'ς', 'σ')"
 _CLEAN = rf"""(len(ls) > 0 AND length(j) - length(regexp_replace(j, '\p{{L}}', '', 'g')) > length(j) * 0.72

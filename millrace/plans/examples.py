@@ -3,9 +3,9 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import stable_hash, unit_draw, words
-from millrace.operators import calibrate, examples
-from millrace.plans.catalogue import _h, _rec, _records, _u, query
+from millrace.functions.text import normalised, stable_hash, unit_draw, words
+from millrace.operators import audits, calibrate, examples
+from millrace.plans.catalogue import _h, _rec, _records, _u, normalised_sql, query
 from millrace.streaming import logs
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -15,7 +15,6 @@ PATTERNS = [("brass", "BRASS$"), ("early", "^[A-F]"), ("steel", "STEEL")]
 FIELDS = ["c_name", "c_mktsegment", "c_nationkey"]
 TRIALS = [0.25, 0.5, 1.0, 2.0, 4.0]
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-_CONTENT = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) >= 3)"
 
 
 @query(f"""SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_type, ' ', '_'), '_'), lambda w:
@@ -86,14 +85,17 @@ def audit_variants(t):
     return examples.variants(t("customer"), ["c_custkey"], FIELDS)
 
 
-@query(f"""SELECT conv_id, turn, contains(lower(a), lower(b)) OR (len(wb) > 0 AND len(list_filter(wb, lambda x: list_contains(wa, x))) >= len(wb) * 0.8e0) AS ok FROM (
-  SELECT x.conv_id, x.turn, x.text AS a, y.text AS b, {_CONTENT.format('x.text')} AS wa, {_CONTENT.format('y.text')} AS wb
-  FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn + 1 = y.turn) z""")
+_TOLD = "regexp_extract_all({}, '[a-z0-9][a-z0-9.@%$/-]*')"
+
+
+@query(f"""SELECT conv_id, turn, length(b) >= 3 AND (contains(a, b) OR (len(wb) >= 2 AND len(list_filter(wb, lambda x: list_contains(wa, x))) >= len(wb) * 0.8e0)) AS ok FROM (
+  SELECT *, {_TOLD.format('a')} AS wa, list_filter({_TOLD.format('b')}, lambda w: length(w) > 2 OR regexp_full_match(w, '[0-9]+')) AS wb FROM (
+  SELECT x.conv_id, x.turn, {normalised_sql('x.text')} AS a, {normalised_sql('y.text')} AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn + 1 = y.turn) s) z""")
 def evidence_supported(t):
-    rows = t("conversations").select("conv_id", "turn", "text", examples.content_words(F.col("text")).alias("w"))
-    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"), F.col("w").alias("wb"))
-    ok = examples.supported(F.col("b"), F.col("text"), F.col("wb"), F.col("w"))
-    return rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", ok.alias("ok"))
+    """Is each turn's text supported by the turn before it?"""
+    rows = t("conversations").select("conv_id", "turn", normalised(F.col("text")).alias("a"))
+    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", audits.evidence_holds(F.col("b"), F.col("a")).alias("ok"))
 
 
 @query(f"SELECT doc_id, CASE WHEN abs(a - b) <= 1.5e0 THEN round((a + b) / 2, 6) END AS score FROM (SELECT doc_id, 10 * {_u(repr('r1'), 'doc_id')} AS a, 10 * {_u(repr('r2'), 'doc_id')} AS b FROM documents) x")

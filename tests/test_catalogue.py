@@ -8,7 +8,7 @@ import pytest
 
 from millrace.operators import judged
 from millrace.operators.build import greedy_keep
-from millrace.plans import examples  # noqa: F401  adds to the catalogue
+from millrace.plans import audits, examples  # noqa: F401  add to the catalogue
 from millrace.plans import judged as judged_plans  # noqa: F401  adds to the catalogue
 from millrace.plans.catalogue import QUERIES, SQL
 
