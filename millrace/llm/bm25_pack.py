@@ -35,9 +35,9 @@ K1, B = 1.2, 0.75
 #: UTF-8 bytes and documents that a shard holds at most (a longer text is a shard of its own).
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 14
 #: Best unused texts that a seed is told in a pass.
-NEIGHBOURS = 64
+NEIGHBOURS = 128
 #: Terms of seeds, and seeds, that are broadcast at once; documents whose marks are broadcast at once (a bit each).
-BLOCK_TERMS, BLOCK_SEEDS, BLOCK_DOCS = 1 << 22, 1 << 17, 1 << 26
+BLOCK_TERMS, BLOCK_SEEDS, BLOCK_DOCS = 1 << 22, 1 << 15, 1 << 26
 #: One shard in so many is asked first for a bound of each seed's NEIGHBOURS-th best score.
 SAMPLED_SHARDS = 8
 #: Clusters, and the sampled texts (and the longest one) that they are learned from.
@@ -48,8 +48,8 @@ NEAR_CENTRE = 0.3
 FEW_COPIES = 32
 #: Scores are compared in steps of one part in so many.
 STEPS = 64
-#: Seeds that one group of the merged answers holds, scores in memory at once, answers held before they are cut.
-SEED_GROUP, CELLS, HELD = 512, 1 << 19, 1 << 22
+#: Seeds that one group of the merged answers holds, scores in memory at once, answers held before they are cut (or half as many again as the last cut left).
+SEED_GROUP, CELLS, HELD = 512, 1 << 19, 1 << 20
 #: Fixed value: the pattern that cuts a text before byte-pair merging in this public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -170,7 +170,7 @@ class Search:
         self.number, self.clusters, self.at, self.terms, self.idf, self.mean, self.most = number, clusters, at, terms, idf, mean, most
         self.bound = bound.copy()  # a seed's answers below it are no longer asked for
         self.found: list = []
-        self.size = 0
+        self.size = self.left = 0
 
     def add(self, shard: int, cluster: int, live: np.ndarray, lengths, terms, first, docs, times) -> None:
         """live: which documents of the shard are unused."""
@@ -195,7 +195,7 @@ class Search:
         step = max(1, CELLS // n)
         for a in range(0, len(asked), step):
             self._score(shard, asked[a : a + step], back, place, column, dense, first, docs, weights)
-        if self.size > HELD:
+        if self.size > max(HELD, self.left + self.left // 2):
             self.cut()
 
     def _score(self, shard, seeds, back, place, column, dense, first, docs, weights) -> None:
@@ -228,7 +228,7 @@ class Search:
         seed, doc, score = seed[best], doc[best], score[best]
         last = rank == self.most - 1
         self.bound[seed[last]] = np.maximum(self.bound[seed[last]], score[last])
-        self.found, self.size = [(seed, doc, score)], len(seed)
+        self.found, self.size, self.left = [(seed, doc, score)], len(seed), len(seed)
         return seed, doc, score
 
 
