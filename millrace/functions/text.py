@@ -17,9 +17,9 @@ def stable_hash(*parts) -> Column:
     return F.conv(F.substring(F.sha1(joined.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def unit_draw(*parts) -> Column:
-    """A number in [0, 1) that depends on the parts alone, in steps of 1/10000."""
-    return (stable_hash(*parts) % 10000).cast("double") / 10000
+def unit_draw(*parts, times: int = 1) -> Column:
+    """A number in [0, times) that depends on the parts alone, in steps of times/10000, each the double nearest to its step."""
+    return (stable_hash(*parts) % 10000).cast("double") * times / 10000
 
 
 def hash_split(key: Column, validation: float = 0.03, test: float = 0.05) -> Column:

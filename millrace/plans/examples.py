@@ -100,7 +100,7 @@ def evidence_supported(t):
 
 @query(f"SELECT doc_id, CASE WHEN abs(a - b) <= 1.5e0 THEN round((a + b) / 2, 6) END AS score FROM (SELECT doc_id, 10 * {_u(repr('r1'), 'doc_id')} AS a, 10 * {_u(repr('r2'), 'doc_id')} AS b FROM documents) x")
 def agreed_scores(t):
-    a, b = (10 * unit_draw(r, F.col("doc_id")) for r in ("r1", "r2"))
+    a, b = (unit_draw(r, F.col("doc_id"), times=10) for r in ("r1", "r2"))
     return t("documents").select("doc_id", a.alias("a"), b.alias("b")).select("doc_id", F.round(examples.agreed_score(F.col("a"), F.col("b"), 0, 10), 6).alias("score"))
 
 

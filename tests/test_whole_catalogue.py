@@ -1,5 +1,6 @@
 """Rows that the catalogue's queries once left out."""
 
+from millrace.plans import audits, examples  # noqa: F401  add to the catalogue
 from millrace.plans.catalogue import QUERIES
 
 
@@ -39,3 +40,8 @@ def test_rules_of_splits_states_and_agreement(spark):
     prose = " ".join(["word"] * 14)
     rows = spark.createDataFrame([(prose,), (prose + "\none two three",), (prose + " | x",), ("",), (prose + "\n\n" + prose + "\nmenu",)], "t string")
     assert [r[0] for r in rows.select(clean_prose(F.col("t"))).collect()] == [True, False, False, False, False]
+
+
+def test_scores_that_differ_by_just_the_room_agree(spark, tmp_path):
+    spark.createDataFrame([(20826, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["agreed_scores"](spark, str(tmp_path)).collect()] == [(20826, 5.45)]
