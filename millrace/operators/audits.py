@@ -106,8 +106,12 @@ def forced_ece(records: DataFrame, bins: int = 15) -> DataFrame:
     best = F.greatest("p_good", "p_bad") / F.coalesce(F.nullif(F.col("p_good") + F.col("p_bad"), F.lit(0.0)), F.lit(1.0))
     rows = sliced(records.where(F.col("gold") != NULL)).withColumn("c", best)
     rows = rows.withColumn("bin", F.ntile(bins).over(W.partitionBy("slice").orderBy("c", "doc_id")))
-    per = rows.groupBy("slice", "bin").agg(F.count("*").alias("n"), F.abs(F.avg("c") - F.avg((F.col("forced") == F.col("gold")).cast("double"))).alias("gap"))
-    return per.groupBy("slice").agg(F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("forced_ece"))
+    # n times the gap of the means is the gap of the sums; in decimals, so that a half in the seventh place does not hang on the order of adding
+    exact = "decimal(24,12)"
+    gap = F.abs(F.sum(F.col("c").cast(exact)) - F.sum((F.col("forced") == F.col("gold")).cast("int")))
+    per = rows.groupBy("slice", "bin").agg(F.count("*").alias("n"), gap.alias("gap"))
+    share = F.sum("gap").cast(exact) / F.sum("n").cast("decimal(12,0)")
+    return per.groupBy("slice").agg(F.round(share, 6).cast("double").alias("forced_ece"))
 
 
 def unknown_option(text: Column) -> Column:

@@ -119,3 +119,24 @@ def test_sentences_pairs_and_gates(spark):
     shapes = {("list", '["a", " "]'): "bad_list", ("list", '["a", "b"]'): None, ("json", "{}"): "bad_json", ("json", '{"a": 1}'): None, ("json", "x"): "bad_json", ("text", "w " * 15): None, ("text", "w"): "bad_text"}
     for (kind, text), want in shapes.items():
         assert value(audits.state_shape(F.lit(text), kind)) == want, (kind, text)
+
+
+def test_forced_ece_adds_exactly(spark):
+    from fractions import Fraction
+
+    from millrace.operators.metrics import build_records, sliced
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    records = build_records(read("documents"), read("labels"), "a")
+    groups = {}
+    for r in sliced(records.where("gold <> '__NULL__'")).collect():
+        c = max(r["p_good"], r["p_bad"]) / (r["p_good"] + r["p_bad"])
+        groups.setdefault(r["slice"], []).append((c, r["doc_id"], Fraction(round(c * 10**12), 10**12) - (r["forced"] == r["gold"])))
+    want = {}
+    for name, rows in groups.items():
+        rows.sort()
+        size, more = divmod(len(rows), 15)
+        ends = [size * k + min(k, more) for k in range(16)]
+        gap = sum(abs(sum(x[2] for x in rows[a:b])) for a, b in zip(ends, ends[1:])) / len(rows)
+        want[name] = (gap * 10**6 + Fraction(1, 2)).__floor__() / 10**6
+    assert {r[0]: r[1] for r in audits.forced_ece(records).collect()} == want
