@@ -174,7 +174,8 @@ def near_duplicate_pairs(t):
 
 @query()
 def near_duplicate_greedy(t):
-    return build.greedy_near(t("documents"), build.jaccard_pairs(t("documents")))
+    prints = build.shingle_prints(t("documents"))
+    return build.greedy_near(prints, build.jaccard_pairs(t("documents"), prints))
 
 
 @query(rf"""WITH {_SETS}, c AS (SELECT s, min(doc_id) AS representative, count(*) AS n_members FROM s WHERE s IS NOT NULL GROUP BY s),
@@ -184,7 +185,8 @@ def near_duplicate_greedy(t):
   SELECT doc_id, coalesce(representative, doc_id) AS representative, coalesce(n_members, 1) AS n_members, coalesce(l.n, 0) AS n_links
   FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN l USING (representative)""")
 def near_duplicate_members(t):
-    return build.near_members(t("documents"), build.jaccard_pairs(t("documents")))
+    prints = build.shingle_prints(t("documents"))
+    return build.near_members(prints, build.jaccard_pairs(t("documents"), prints))
 
 
 @query(f"SELECT doc_id, gold, forced, decision, round(confidence, 6) AS confidence FROM {_records('a')} r")

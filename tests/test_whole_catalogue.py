@@ -1,5 +1,7 @@
 """Rows that the catalogue's queries once left out."""
 
+import pytest
+
 from millrace.plans import audits, examples  # noqa: F401  add to the catalogue
 from millrace.plans.catalogue import QUERIES
 
@@ -45,3 +47,46 @@ def test_rules_of_splits_states_and_agreement(spark):
 def test_scores_that_differ_by_just_the_room_agree(spark, tmp_path):
     spark.createDataFrame([(20826, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in QUERIES["agreed_scores"](spark, str(tmp_path)).collect()] == [(20826, 5.45)]
+
+
+def _texts(rng):
+    """Near copies of several texts, more of the first than a block holds, and others that share only a frequent passage."""
+    shared = " ".join(f"common{k}" for k in range(30))
+    texts = []
+    for copies in (150, 20, 6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(copies):
+            copy = list(words)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy[rng.randrange(9) :]))
+    texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 90))) + " " + shared for _ in range(200)]
+    rng.shuffle(texts)
+    return [*texts, None, "", "one two", "One two!"]
+
+
+def test_pairs_are_all_found_and_few_are_compared(spark, monkeypatch):
+    import random
+
+    from millrace.operators import build
+
+    texts = _texts(random.Random(5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets, first = {}, {}
+    for i, text in enumerate(texts):
+        if text is not None:
+            words = text.lower().replace("!", "").split()
+            found = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+            sets.setdefault(first.setdefault(found, i), found)
+    want = {}
+    for a, sa in sets.items():
+        for b, sb in sets.items():
+            if a < b and 5 * len(sa & sb) >= 4 * len(sa | sb):
+                want[a, b] = round(len(sa & sb) / len(sa | sb), 6)
+    compared = []
+    whole = build._compared
+    monkeypatch.setattr(build, "_compared", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    got = {(r["a"], r["b"]): r["jaccard"] for r in build.jaccard_pairs(docs).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(want) > 500
+    assert compared[0] < 2 * len(want)
+    assert build.jaccard_pairs(docs.limit(0)).count() == 0
