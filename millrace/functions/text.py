@@ -112,6 +112,10 @@ def without_fences(text: Column) -> Column:
 
 
 def min_hashes(tokens: Column, n: int = 64, width: int = 5) -> Column:
-    """n least hashes of the shingles, each by its own seed. Project the tokens first."""
-    hashes = F.transform(shingles(tokens, width), lambda s: F.xxhash64(s))
+    """n least hashes of the shingles, each by its own seed. Project the tokens first; for more than a few texts use least_hashes."""
+    return least_hashes(F.transform(shingles(tokens, width), lambda s: F.xxhash64(s)), n)
+
+
+def least_hashes(hashes: Column, n: int = 64) -> Column:
+    """The least of an array's hashes by each of n seeds. Project the hashes first: they are used n times."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, p))))

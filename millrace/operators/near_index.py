@@ -3,16 +3,17 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import min_hashes, words
+from millrace.functions.text import least_hashes, shingles, words
 
 N_HASHES, BANDS = 64, 16
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sig): 64 least hashes of the five-word shingles. Rows of null text have none."""
-    # explode keeps the word split out of the lambdas
+    # explode keeps the word split and the shingles out of the lambdas, where they would be made anew for every seed
     tokens = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(F.array(words(F.col(text)))).alias("w"))
-    hashed = tokens.select("key", min_hashes(F.col("w"), N_HASHES).alias("sig"))
+    hashes = tokens.select("key", F.explode(F.array(F.transform(shingles(F.col("w")), lambda s: F.xxhash64(s)))).alias("h"))
+    hashed = hashes.select("key", least_hashes(F.col("h"), N_HASHES).alias("sig"))
     return hashed.select("key", F.explode(F.array("sig")).alias("sig"))
 
 

@@ -235,6 +235,6 @@ def converted_scores(t):
 def near_train_copies(t):
     """Validation and test documents that are near to a training document, by the MinHash index: key, found, similarity."""
     docs = t("documents").withColumn("split", hash_split(F.col("text")))
-    sigs = near_index.signatures(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("key"), "split"), "key")
-    index = near_index.build_index(sigs.where("split = 'train'"))
-    return near_index.nearest(sigs.where("split <> 'train'").drop("split"), index)
+    # the split is chosen before signatures are made, so each text's is made for its own side only
+    train, others = (near_index.signatures(docs.where(side), "doc_id", "text") for side in ("split = 'train'", "split <> 'train'"))
+    return near_index.nearest(others, near_index.build_index(train))

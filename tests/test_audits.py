@@ -140,3 +140,14 @@ def test_forced_ece_adds_exactly(spark):
         gap = sum(abs(sum(x[2] for x in rows[a:b])) for a, b in zip(ends, ends[1:])) / len(rows)
         want[name] = (gap * 10**6 + Fraction(1, 2)).__floor__() / 10**6
     assert {r[0]: r[1] for r in audits.forced_ece(records).collect()} == want
+
+
+def test_signatures_make_shingles_once_a_text(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 997}" for j in range(4000))) for k in range(1, 9)], "doc_id long, text string").repartition(1)
+    tokens = docs.select("doc_id", F.explode(F.array(tx.words(F.col("text")))).alias("w"))
+    plain = {r[0]: list(r[1]) for r in tokens.limit(1).select("doc_id", tx.min_hashes(F.col("w"))).collect()}
+    made = {r["key"]: list(r["sig"]) for r in near_index.signatures(docs, "doc_id", "text").collect()}
+    assert len(made) == 8 and all(made[k] == sig for k, sig in plain.items())
+    plan = near_index.signatures(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    seeded = [line for line in plan.splitlines() if "sequence(0, 63" in line or "array_min" in line]
+    assert seeded and not any("array_join" in line for line in seeded)
