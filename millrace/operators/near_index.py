@@ -1,20 +1,50 @@
 """A MinHash index of texts that are already there: new texts are looked up by bands, within a batch and across batches."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import least_hashes, shingles, words
+from millrace.functions.text import shingles, words
 
 N_HASHES, BANDS = 64, 16
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of XXH64 on unsigned 64-bit numbers, in place."""
+    for shift, prime in ((33, 0xC2B2AE3D27D4EB4F), (29, 0x165667B19E3779F9)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(prime)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _least(hashes: np.ndarray) -> list[int]:
+    """What text.least_hashes gives: the least of xxhash64(hash, seed) for each seed; the numbers are Spark's."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    start = p5 + np.uint64(42 + 8)
+    own = _mixed(_turned((_turned(hashes.view(np.uint64) * p2, 31) * p1) ^ start, 27) * p1 + p4) + (p5 + np.uint64(4))
+    seeds = [np.uint64(k * int(p1) & (1 << 64) - 1) for k in range(N_HASHES)]
+    return [int(_mixed(_turned(own ^ seed, 23) * p2 + p3).view(np.int64).min()) for seed in seeds]
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sig): 64 least hashes of the five-word shingles. Rows of null text have none."""
     # explode keeps the word split and the shingles out of the lambdas, where they would be made anew for every seed
     tokens = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(F.array(words(F.col(text)))).alias("w"))
     hashes = tokens.select("key", F.explode(F.array(F.transform(shingles(F.col("w")), lambda s: F.xxhash64(s)))).alias("h"))
-    hashed = hashes.select("key", least_hashes(F.col("h"), N_HASHES).alias("sig"))
-    return hashed.select("key", F.explode(F.array("sig")).alias("sig"))
+
+    def make(batches):
+        for batch in batches:
+            sigs = [_least(s.values.to_numpy()) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.list_(pa.int64()))], names=["key", "sig"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return hashes.mapInArrow(make, f"key {kind}, sig array<bigint>")
 
 
 def build_index(sigs: DataFrame) -> DataFrame:
