@@ -1,11 +1,17 @@
-"""Near-duplicates by the exact Jaccard similarity of five-word shingle sets, at least 0.8.
-
-Lossless prefix filter: of a set's shingles in one fixed order, two sets that similar share one of the first
-n - ceil(0.8 n) + 1. The order puts shingles that a sample shows often last (it never decides a result). Documents
-that share a key are first checked against the key's least document; only those that are then still in different
-components are checked with each other, so a large group of near copies costs no square of its size. A pair is checked by
-its sets only if parity sketches leave room for it: a shingle that one set alone holds flips one bit, so two sets that
-similar differ in no more bits than (n + m) / 9. That loses nothing either.
+"""Near-duplicates by the Jaccard similarity of five-word shingle sets, at least 0.8: SimHash and a vantage-point tree, then an exact check.
+
+Two sets that similar differ in any bit of a SimHash with a chance of at most 0.16 (0.1875 for sets of under SMALL shingles),
+so a pair's distance is binomial: beyond CLOSE, in the first 128 bits or in all 256, it is in less than 2 of 10^9
+cases even at 0.8 itself. Their sizes are within a factor of 5/4 of each other. One vantage-point tree over both (the larger
+one of the Hamming distance and the scaled difference of the sizes' logarithms is a metric) deals every distinct set to
+shards by the triangle inequality. At this radius Hamming balls of unrelated texts all overlap, so it is the sizes by
+which the tree prunes, and within a shard sets of sizes that fit are compared all with all, in cells of two parts: the work grows
+with the square of the texts, at a few nanoseconds a pair.
+
+Every set that has others within the radius is first checked against the least of them; only those that are then still in
+different components are checked with each other, so a large group of near copies costs no square of exact checks. A pair is
+checked by its sets only if parity sketches leave room for it: a shingle that one set alone holds flips one bit, so two sets
+that similar differ in no more bits than (n + m) / 9. That loses nothing.
 """
 
 from itertools import accumulate
@@ -20,14 +26,25 @@ from pyspark.sql import functions as F
 from millrace.llm.common import id_and_text, named, packed, store, unpacked
 from millrace.llm.components import connected_components
 from millrace.llm.line_dedup import _in_mask
+from millrace.llm.simhash import grow_tree, route
 
 WIDTH = 5
 #: The least similarity as a fraction, so that it is compared in whole numbers.
 NUM, DEN = 4, 5
-#: Documents that the order of shingles is learned from, and the most shingles that it sets back.
-ORDER_DOCS, ORDER_SHINGLES = 4_000, 100_000
+#: 64-bit words of a fingerprint; sets under SMALL shingles have a wider radius.
+WORDS, SMALL = 4, 16
+#: Most bits that differ in the first two words and in all, for pairs with a set under SMALL shingles and for the others.
+CLOSE = ((54, 90), (50, 80))
+#: The tree's radius; points it is grown on; those of a leaf; the part of a node's square below which a split pays.
+RADIUS, SAMPLE, LEAF, WORTH = 90, 4096, 16, 0.85
+#: Sets of a part of a shard, and parts of a shard at most (parts grow beyond them, so that a set goes to no more cells).
+PART, MOST_PARTS = 1 << 14, 32
+#: Rows and columns that are compared at once.
+ROWS, COLS = 64, 2048
 #: Least bits of a set's parity sketch; it has as many as the set has shingles, rounded up to a power of two.
 SKETCH = 1024
+_ADDED = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
+_NONE = np.iinfo(np.int64).max
 
 
 def shingle_set(body: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -46,14 +63,17 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).astype(np.int64))
 
 
-def prefix(shingles: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The shingles that a similar set must share one of."""
-    n = len(shingles)
-    keep = n - -(-NUM * n // DEN) + 1 if n else 0
-    if len(often) and n:
-        at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
-        shingles = shingles[np.argsort(np.where(often[at] == shingles, times[at], 0), kind="stable")]
-    return shingles[:keep]
+def simprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of WORDS * 64 bits: a bit is 1 if it is set in over half of the hashes (or of their mixtures, from the second word on)."""
+    h = shingles.view(np.uint64)
+    counts = np.zeros(WORDS * 64, np.int64)
+    for at in range(0, len(h), 255):
+        x = h[at : at + 255, None] + _ADDED
+        x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h)).view(np.uint64)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -68,20 +88,138 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def _order(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in three sampled documents or more, ascending, and in how many."""
-    n = rows.count()
-    rate = 1 << 30
-    some = rows.where(F.pmod(F.xxhash64("id", "body", F.lit(3)), F.lit(rate)) < int(rate * min(1.0, ORDER_DOCS / max(n, 1))))
+def points_of(n: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """The points of the tree's metric: fingerprints, and the logarithms of sizes in such steps that RADIUS is a factor of 5/4."""
+    out = np.empty(len(n), [("fp", np.uint64, (WORDS,)), ("size", np.float64)])
+    out["fp"], out["size"] = prints, np.log(n) * (RADIUS / np.log(DEN / NUM))
+    return out
+
+
+def apart(points: np.ndarray, vantage) -> np.ndarray:
+    """The larger one of the bits and of the size steps that differ, a metric."""
+    return np.maximum(np.bitwise_count(points["fp"] ^ vantage["fp"]).sum(1), np.abs(points["size"] - vantage["size"]))
 
-    def each(batches):
-        for batch in batches:
-            for body in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(body))], names=["k"])
 
-    found = some.mapInArrow(each, "k long").groupBy("k").count().where("count >= 3").orderBy(F.desc("count"), "k").limit(ORDER_SHINGLES).collect()
-    found = sorted((r["k"], r["count"]) for r in found)
-    return np.array([k for k, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+def near_blocks(n, prints, n2, prints2, same):
+    """Yield (i, j), indexes of pairs within the radius and within sizes that fit, by blocks; n and n2 ascend.
+
+    same: both are one list, of which every pair comes once.
+    """
+    low, high = np.searchsorted(n2 * DEN, n * NUM), np.searchsorted(n2 * NUM, n * DEN, "right")
+    columns = np.ascontiguousarray(prints2[:, :2].T)
+    for at in range(0, len(n), ROWS):
+        own = prints[at : at + ROWS]
+        end = high[min(len(n), at + ROWS) - 1]
+        for to in range(max(low[at], at) if same else low[at], end, COLS):
+            bound = CLOSE[int(min(n[at], n2[to]) >= SMALL)]
+            upto = min(end, to + COLS)
+            bits = np.bitwise_count(own[:, :1] ^ columns[0, to:upto])
+            bits += np.bitwise_count(own[:, 1:2] ^ columns[1, to:upto])
+            i, j = np.divmod(np.flatnonzero(bits <= bound[0]), upto - to)
+            i, j = i + at, j + to
+            fit = (j > i if same else j >= low[i]) & (j < high[i])
+            i, j = i[fit], j[fit]
+            held = np.bitwise_count(prints[i] ^ prints2[j]).sum(1) <= bound[1]
+            yield i[held], j[held]
+
+
+class Forest:
+    """A vantage-point tree over sets' fingerprints and sizes; its shards are compared in cells of two parts of a shard."""
+
+    def __init__(self, nodes: DataFrame):
+        """nodes: (node, n, fp, ...). The tree is grown on a bounded sample, its shape never decides a result."""
+        rate, n = 1 << 30, nodes.count()
+        drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(rate)) < int(rate * min(1.0, SAMPLE / max(n, 1))))
+        drawn = sorted((r["n"], bytes(r["fp"])) for r in drawn.select("n", "fp").collect())
+        sample = points_of(np.array([x[0] for x in drawn], np.int64), np.frombuffer(b"".join(x[1] for x in drawn), np.uint64).reshape(-1, WORDS))
+        self.tree = grow_tree(sample, RADIUS + 1e-6, LEAF, apart, WORTH)
+
+    def _cells(self, nodes: DataFrame) -> DataFrame:
+        """A row of nodes for each cell (shard, i, j) that it belongs to, with its part. Any two within RADIUS meet in a cell."""
+        tree, names = self.tree, nodes.columns
+
+        def routed(batch):
+            n, prints = batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64)
+            return route(points_of(n, prints.reshape(-1, WORDS)), tree, RADIUS + 1e-6, apart)
+
+        def count(batches):
+            for batch in batches:
+                for shard, rows in routed(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)], pa.int64())], names=["shard", "m"])
+
+        held = nodes.select("n", "fp").mapInArrow(count, "shard int, m long").groupBy("shard").agg(F.sum("m")).collect()
+        parts = {shard: min(MOST_PARTS, -(-m // PART)) for shard, m in held}
+
+        def deal(batches):
+            for batch in batches:
+                node = batch.column("node").to_numpy()
+                for shard, rows in routed(batch):
+                    g = parts[shard]
+                    part = (node[rows].view(np.uint64) >> np.uint64(20)) % np.uint64(g)
+                    taken = batch.take(pa.array(rows))
+                    for k in range(g):
+                        cell = [np.full(len(rows), shard, np.int32), np.minimum(part, k).astype(np.int32), np.maximum(part, k).astype(np.int32), part.astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cell), *taken.columns], names=["shard", "i", "j", "part", *names])
+
+        dealt = nodes.mapInArrow(deal, "shard int, i int, j int, part int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
+        cells = sum(g * (g + 1) // 2 for g in parts.values())
+        return dealt.repartition(max(1, min(4096, cells)), "shard", "i", "j").groupBy("shard", "i", "j")
+
+    def leads(self, nodes: DataFrame) -> DataFrame:
+        """nodes (node, n, fp) -> (node, lead): of every node that has another one within the radius, the least such."""
+
+        def find(table: pa.Table) -> pa.Table:
+            (node, n, prints), (node2, n2, prints2), same = _sides(table, _core)
+            least, least2 = np.full(len(node), _NONE), np.full(len(node2), _NONE)
+            for i, j in near_blocks(n, prints, n2, prints2, same):
+                np.minimum.at(least, i, node2[j])
+                np.minimum.at(least2, j, node[i])
+            node, least = np.concatenate([node, node2]), np.concatenate([least, least2])
+            return pa.table([node[least < _NONE], least[least < _NONE]], names=["node", "lead"])
+
+        found = self._cells(nodes.select("node", "n", "fp")).applyInArrow(find, "node long, lead long")
+        return store(found.groupBy("node").agg(F.min("lead").alias("lead")), "leads")
+
+    def pairs(self, nodes: DataFrame) -> DataFrame:
+        """nodes (node, n, fp, sk, c) -> (a, b): all pairs within the radius whose c differ and whose sketches leave room."""
+
+        def fold(batches):
+            for batch in batches:
+                *columns, sk, c = batch.columns
+                folded = [np.bitwise_xor.reduce(np.array(x, np.int64).reshape(-1, SKETCH // 64), axis=0).tobytes() for x in sk.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(folded, pa.binary()), c], names=["node", "n", "fp", "sk", "c"])
+
+        def find(table: pa.Table) -> pa.Table:
+            (node, n, prints, sk, c), (node2, n2, prints2, sk2, c2), same = _sides(table, lambda t: (*_core(t), _numbers(t["sk"], SKETCH // 64), t["c"].to_numpy()))
+            out = [np.zeros((2, 0), np.int64)]
+            for i, j in near_blocks(n, prints, n2, prints2, same):
+                other = c[i] != c2[j]
+                i, j = i[other], j[other]
+                for at in range(0, len(i), 1 << 14):
+                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    held = np.bitwise_count(sk[x] ^ sk2[y]).sum(1) * (NUM + DEN) <= (n[x] + n2[y]) * (DEN - NUM)
+                    out.append(np.stack([np.minimum(node[x], node2[y]), np.maximum(node[x], node2[y])])[:, held])
+            return pa.table(list(np.unique(np.concatenate(out, axis=1), axis=1)), names=["a", "b"])
+
+        folded = nodes.select("node", "n", "fp", "sk", "c").mapInArrow(fold, "node long, n int, fp binary, sk binary, c long")
+        return self._cells(folded).applyInArrow(find, "a long, b long").distinct()
+
+
+def _numbers(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+
+
+def _core(table: pa.Table) -> tuple[np.ndarray, ...]:
+    return table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64), _numbers(table["fp"], WORDS)
+
+
+def _sides(table: pa.Table, read):
+    """The columns of a cell's two parts, sizes ascending, and whether they are one part."""
+    table = table.sort_by([("n", "ascending"), ("node", "ascending")])
+    first, part = table["i"][0].as_py(), table["part"].to_numpy()
+    if first == table["j"][0].as_py():
+        return read(table), read(table), True
+    return read(table.filter(pa.array(part == first))), read(table.filter(pa.array(part != first))), False
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -130,30 +268,25 @@ def _links(pairs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame:
 def near_copies(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, component) for every row of df; component is the least id reachable by links of Jaccard 0.8 or more."""
     rows = id_and_text(df, id_col, text_col, F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias("di"), F.xxhash64(named(text_col)).alias("dh"))
-    order = rows.sparkSession.sparkContext.broadcast(_order(rows))
 
     def make(batches):
         for batch in batches:
             ids, bodies, di, dh = batch.columns
             sets = [shingle_set(body) for body in bodies.to_pylist()]
             parts = [ids, di, dh, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
-            parts += [pa.array([prefix(s, *order.value) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(parts, names=["id", "di", "dh", "node", "n", "keys", "sk"])
-
-    prints = store(rows.mapInArrow(make, "id long, di long, dh long, node long, n int, keys array<long>, sk array<long>"), "prints")
-    nodes = store(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", "sk")]), "nodes")
-    keys = nodes.select("node", F.explode("keys").alias("k"))
-    least = keys.groupBy("k").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("k", "lead")
-    shared = store(keys.join(least, "k"), "shared")
-    led = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+            parts += [pa.array([simprint(s).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(parts, names=["id", "di", "dh", "node", "n", "fp", "sk"])
+
+    prints = store(rows.mapInArrow(make, "id long, di long, dh long, node long, n int, fp binary, sk array<long>"), "prints")
+    nodes = store(prints.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "sk")]), "nodes")
+    forest = Forest(nodes)
+    leads = forest.leads(nodes)
+    led = store(leads.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "led")
     links = _links(_plausible(led, nodes), prints, rows)
     label = connected_components(links)
-    marked = shared.join(label, "node", "left").select("k", "node", F.coalesce("root", "node").alias("c"))
-    several = marked.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
-    marked = store(marked.join(several, "k").join(nodes.select("node", "n", "sk"), "node"), "marked")
-    a, b = marked.toDF("a", "k", "ca", "na", "ska"), marked.toDF("b", "k", "cb", "nb", "skb")
-    rest = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits()).select("a", "b").distinct()
-    roots = connected_components(links.unionAll(_links(rest, prints, rows)))
+    marked = nodes.join(leads.select("node"), "node").join(label, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    rest = forest.pairs(store(marked, "marked")).join(led, ["a", "b"], "left_anti")
+    roots = connected_components(links.unionAll(_links(_plausible(rest, nodes), prints, rows)))
     whole = store(prints.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "roots")
     return whole.join(whole.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 

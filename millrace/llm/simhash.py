@@ -50,8 +50,16 @@ def fingerprints(df: DataFrame, id_col="doc_id", text_col="text", width: int = 3
     )
 
 
-def grow_tree(points: np.ndarray, radius: int, leaf: int) -> list[tuple]:
-    """Nodes (vantage, mu, inside, outside) or (None, shard, 0, 0), the root first."""
+def hamming(values: np.ndarray, vantage) -> np.ndarray:
+    return np.bitwise_count(values ^ vantage)
+
+
+def grow_tree(points: np.ndarray, radius: float, leaf: int, distance=hamming, worth: float = np.inf) -> list[tuple]:
+    """Nodes (vantage, mu, inside, outside) or (None, shard, 0, 0), the root first.
+
+    worth: a node splits only if the squares of its two parts, what stands in both included, come to less than that
+    part of its own square.
+    """
     nodes: list = []
     shards = 0
     todo = [(np.asarray(points), -1, 0)]
@@ -62,22 +70,22 @@ def grow_tree(points: np.ndarray, radius: int, leaf: int) -> list[tuple]:
         best = None
         if len(own) > leaf:
             for v in own[:: max(1, len(own) // 8)][:8]:
-                d = np.bitwise_count(own ^ v)
+                d = distance(own, v)
                 mu = int(np.median(d))
                 inside = float((d <= mu).mean())
                 spare = float(((d > mu) & (d <= mu + radius)).mean())
-                if 0 < inside < 0.95 and (best is None or abs(inside - 0.5) + spare < best[0]):
+                if 0 < inside < 0.95 and (inside + spare) ** 2 + (1 - inside) ** 2 < worth and (best is None or abs(inside - 0.5) + spare < best[0]):
                     best = (abs(inside - 0.5) + spare, v, mu, d)
         if best is None:
             nodes.append([None, shards, 0, 0])
             shards += 1
         else:
-            nodes.append([int(best[1]), best[2], 0, 0])
+            nodes.append([best[1], best[2], 0, 0])
             todo += [(own[best[3] <= best[2]], len(nodes) - 1, 0), (own[best[3] > best[2]], len(nodes) - 1, 1)]
     return [tuple(n) for n in nodes]
 
 
-def route(values: np.ndarray, nodes: list[tuple], radius: int):
+def route(values: np.ndarray, nodes: list[tuple], radius: float, distance=hamming):
     """Yield (shard, indexes): where one of a pair within radius is, the other is in one common shard too."""
     todo = [(0, np.arange(len(values)))]
     while todo:
@@ -88,7 +96,7 @@ def route(values: np.ndarray, nodes: list[tuple], radius: int):
         if vantage is None:
             yield mu, rows
             continue
-        d = np.bitwise_count(values[rows] ^ values.dtype.type(vantage))
+        d = distance(values[rows], vantage)
         todo += [(inside, rows[d <= mu + radius]), (outside, rows[d > mu])]
 
 

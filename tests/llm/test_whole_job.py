@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from millrace.llm import bm25_pack, byte_cnn, license_scan, line_dedup, mixing, near_copies
+from millrace.llm import bm25_pack, byte_cnn, license_scan, line_dedup, mixing, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -220,3 +222,42 @@ def test_long_lines_meet(spark):
     texts += ["x" * 64 + "y" * 64, "x" * 64 + "y" * 63, "x" * 63 + "y" * 64, "x" * 65 + "y" * 65]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in line_dedup.line_report(docs).where("n_removed = 1").collect()) == [1, 2, 3, 4, 7, 8]
+
+
+def test_near_dedup_links_come_from_the_tree(spark, monkeypatch):
+    grown = []
+
+    def grow(points, *more):
+        grown.append(len(points))
+        return simhash.grow_tree(points, *more)
+
+    monkeypatch.setattr(near_copies, "grow_tree", grow)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join(base[1:]), " ".join(base[:40] + base[:40]), "", " ".join(f"v{k}" for k in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in near_copies.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert grown == [4]  # distinct sets with a shingle
+
+
+def test_recall_of_the_radius_and_the_tree():
+    """Every pair of the table's sets at 0.8 or more is within the radius, and meets in a shard."""
+    import pyarrow.parquet as pq
+
+    bodies = [t.encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    sets = sorted({near_copies.shingle_set(b).tobytes(): near_copies.shingle_set(b) for b in bodies + [" ".join(t.split()[:-2]).encode() for t in map(bytes.decode, bodies)]}.values(), key=len)
+    sets = [s for s in sets if len(s)]
+    n, prints = np.array([len(s) for s in sets]), np.array([near_copies.simprint(s) for s in sets])
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s.tolist():
+            holders.setdefault(x, []).append(k)
+    want = {(a, b) for b, s in enumerate(sets) for a in set().union(*[holders[x] for x in s.tolist()]) if a < b and near_copies.similar(sets[a], s)}
+    found = {(a, b) for i, j in near_copies.near_blocks(n, prints, n, prints, True) for a, b in zip(i.tolist(), j.tolist())}
+    points = near_copies.points_of(n, prints)
+    tree = simhash.grow_tree(points[::3], near_copies.RADIUS + 1e-6, 16, near_copies.apart, near_copies.WORTH)
+    shards = [set() for _ in sets]
+    for shard, rows in simhash.route(points, tree, near_copies.RADIUS + 1e-6, near_copies.apart):
+        for k in rows.tolist():
+            shards[k].add(shard)
+    assert len(want) > 300 and want <= found and len(tree) > 3
+    assert all(shards[a] & shards[b] for a, b in want)
