@@ -163,6 +163,17 @@ def best_of(number: np.ndarray, seed: np.ndarray, doc: np.ndarray, score: np.nda
     return order[rank < most], rank[rank < most]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: those that hardly change lie together and are compressed in a shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def of_planes(blobs: list[bytes], kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1) for b in blobs]
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
 class Search:
     """Answers of shards to a block of seeds, one shard after the other, cut to the best ones of each seed."""
 
@@ -418,13 +429,13 @@ class Library:
                 edges = np.searchsorted(part, np.arange(int(part.max(initial=-1)) + 2))
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     if b > a:
-                        blobs = [x[a:b].astype(t).tobytes() for x, t in ((seed, np.int32), (doc, np.int64), (score, np.int32))]
+                        blobs = [planes(x[a:b].astype(t)) for x, t in ((seed, np.int32), (doc, np.int64), (score, np.int32))]
                         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "seed", "doc", "score"])
 
             return index.select("shard", "cluster", *columns).mapInArrow(run, found)
 
         def merge(table: pa.Table) -> pa.Table:
-            seed, doc, score = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("seed", np.int32), ("doc", np.int64), ("score", np.int32))]
+            seed, doc, score = [of_planes(table[c].to_pylist(), t) for c, t in (("seed", np.int32), ("doc", np.int64), ("score", np.int32))]
             best, rank = best_of(asked.value[0], seed, doc, score, most)
             return pa.table([pa.array(asked.value[0][seed[best]]), pa.array(doc[best]), pa.array(rank.astype(np.int32)), pa.array(score[best])], names=["seed", "doc", "rank", "score"])
 

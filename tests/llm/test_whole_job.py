@@ -143,6 +143,15 @@ def test_recall_of_the_clusters_that_a_seed_asks():
     assert hits >= 0.9 * asked
 
 
+def test_answers_are_shuffled_by_planes():
+    rng = np.random.default_rng(2)
+    for kind in (np.int32, np.int64):
+        parts = [rng.integers(-(1 << 31), 1 << 31, n).astype(kind) for n in (0, 1, 300)]
+        assert np.array_equal(bm25_pack.of_planes([bm25_pack.planes(x) for x in parts], kind), np.concatenate(parts))
+    docs = (np.int64(5) << 24) + rng.integers(0, 1 << 14, 4000)
+    assert bm25_pack.planes(docs)[8000:] == bytes(4000) + bytes([5]) * 4000 + bytes(16000)
+
+
 def test_windows_of_copies_and_of_texts_that_share_nothing(spark):
     texts = ["same words here"] * 50 + [f"alone{i}" for i in range(30)] + [""] * 5 + ["two of these", "two of these"]
     _, rows = packed_order(spark, texts)
