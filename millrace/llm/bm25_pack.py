@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_and_text, store
+from millrace.llm.common import freed, id_and_text, release, store
 
 WINDOW, SEED_EVERY = 1024, 20
 TERMS = 1 << 18
@@ -298,7 +298,7 @@ def _write_index(rows: DataFrame, router, vocabulary: str, shard_bytes: int) ->
         for k in sorted(open_):
             yield flush(k)
 
-    return store(rows.mapInArrow(build, kinds), "index")
+    return store(rows.mapInArrow(freed(build), kinds), "index")
 
 
 def _statistics(index: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -321,7 +321,7 @@ def _statistics(index: DataFrame) -> tuple[np.ndarray, int, int]:
         return pa.table([table["block"].slice(0, 1), pa.array([counts.tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    found = index.select("terms", "first", "lengths").mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema).collect()
+    found = index.select("terms", "first", "lengths").mapInArrow(freed(count), schema).groupBy("block").applyInArrow(total, schema).collect()
     blocks = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in found}  # TERMS numbers, whatever the corpus
     if not blocks:
         return np.zeros(TERMS, np.int64), 0, 0
@@ -345,7 +345,7 @@ def _entries(index: DataFrame) -> DataFrame:
                 parts = [keys[least, 0], keys[least, 1], (shard << _LOCAL) + least, np.diff(start).astype(np.int32), np.logical_or.reduceat(seed[order], start[:-1]), sizes[least]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, parts), docs], names=[c.split()[0] for c in _ENTRY.split(", ")])
 
-    return store(index.select("shard", "ids", "keys", "sizes").mapInArrow(each, _ENTRY), "entries")
+    return store(index.select("shard", "ids", "keys", "sizes").mapInArrow(freed(each), _ENTRY), "entries")
 
 
 class Library:
@@ -377,7 +377,7 @@ class Library:
                     columns = [pa.array((shard << _LOCAL) + own.astype(np.int64)), pa.array([terms[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array(asks)]
                     yield pa.RecordBatch.from_arrays(columns, names=["row", "terms", "asks"])
 
-        told = self.index.select("shard", "seeds", "seed_at", "seed_terms", "seed_asks").mapInArrow(each, "row long, terms binary, asks int")
+        told = self.index.select("shard", "seeds", "seed_at", "seed_terms", "seed_asks").mapInArrow(freed(each), "row long, terms binary, asks int")
         of = self.entries.where("is_seed").select("k1", "k2", F.explode("docs").alias("row"))
         named = of.join(self.texts.where("is_seed").select("k1", "k2", "doc"), ["k1", "k2"]).select("row", "doc")
         one = told.join(named, "row").groupBy("doc").agg(F.first("terms").alias("terms"), F.first("asks").alias("asks"))  # equal for copies
@@ -432,12 +432,15 @@ class Library:
                         blobs = [planes(x[a:b].astype(t)) for x, t in ((seed, np.int32), (doc, np.int64), (score, np.int32))]
                         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "seed", "doc", "score"])
 
-            return index.select("shard", "cluster", *columns).mapInArrow(run, found)
+            return index.select("shard", "cluster", *columns).mapInArrow(freed(run), found)
 
         def merge(table: pa.Table) -> pa.Table:
             seed, doc, score = [of_planes(table[c].to_pylist(), t) for c, t in (("seed", np.int32), ("doc", np.int64), ("score", np.int32))]
             best, rank = best_of(asked.value[0], seed, doc, score, most)
-            return pa.table([pa.array(asked.value[0][seed[best]]), pa.array(doc[best]), pa.array(rank.astype(np.int32)), pa.array(score[best])], names=["seed", "doc", "rank", "score"])
+            told = pa.table([pa.array(asked.value[0][seed[best]]), pa.array(doc[best]), pa.array(rank.astype(np.int32)), pa.array(score[best])], names=["seed", "doc", "rank", "score"])
+            del seed, doc, score, best, rank
+            release()
+            return told
 
         merged = "seed long, doc long, rank int, score int"
         bound = np.zeros(len(number), np.int32)

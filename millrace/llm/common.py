@@ -1,5 +1,6 @@
 """What the corpus operators share: tables that cut lineage, and Arrow plumbing."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -49,6 +50,24 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     return df.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("body"), *more)
 
 
+def release() -> None:
+    """Give free memory back to the machine: a Python worker waits for its next task beside its executor's JVM, and what it holds counts there."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def freed(run):
+    """run, a function of Arrow batches, that releases memory at its end, when its own values are gone."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """make(list of column lists) -> list of column lists, for each Arrow batch of df."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,7 +82,7 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
                 columns = make([c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return df.mapInArrow(freed(run), target)
 
 
 def held_out(id_column, modulus: int, remainder: int):

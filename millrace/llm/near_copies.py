@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_and_text, named, packed, store, unpacked
+from millrace.llm.common import freed, id_and_text, named, packed, store, unpacked
 from millrace.llm.components import connected_components
 from millrace.llm.line_dedup import _in_mask
 from millrace.llm.simhash import grow_tree, route
@@ -147,7 +147,7 @@ class Forest:
                 for shard, rows in routed(batch):
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)], pa.int64())], names=["shard", "m"])
 
-        held = nodes.select("n", "fp").mapInArrow(count, "shard int, m long").groupBy("shard").agg(F.sum("m")).collect()
+        held = nodes.select("n", "fp").mapInArrow(freed(count), "shard int, m long").groupBy("shard").agg(F.sum("m")).collect()
         parts = {shard: min(MOST_PARTS, -(-m // PART)) for shard, m in held}
 
         def deal(batches):
@@ -161,7 +161,7 @@ class Forest:
                         cell = [np.full(len(rows), shard, np.int32), np.minimum(part, k).astype(np.int32), np.maximum(part, k).astype(np.int32), part.astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, cell), *taken.columns], names=["shard", "i", "j", "part", *names])
 
-        dealt = nodes.mapInArrow(deal, "shard int, i int, j int, part int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
+        dealt = nodes.mapInArrow(freed(deal), "shard int, i int, j int, part int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
         cells = sum(g * (g + 1) // 2 for g in parts.values())
         return dealt.repartition(max(1, min(4096, cells)), "shard", "i", "j").groupBy("shard", "i", "j")
 
@@ -201,7 +201,7 @@ class Forest:
                     out.append(np.stack([np.minimum(node[x], node2[y]), np.maximum(node[x], node2[y])])[:, held])
             return pa.table(list(np.unique(np.concatenate(out, axis=1), axis=1)), names=["a", "b"])
 
-        folded = nodes.select("node", "n", "fp", "sk", "c").mapInArrow(fold, "node long, n int, fp binary, sk binary, c long")
+        folded = nodes.select("node", "n", "fp", "sk", "c").mapInArrow(freed(fold), "node long, n int, fp binary, sk binary, c long")
         return self._cells(folded).applyInArrow(find, "a long, b long").distinct()
 
 
@@ -260,9 +260,9 @@ def _links(pairs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[held] if c else c, pa.int64()) for c in (a, b)], names=["a", "b"])
 
     texts = _in_mask(rows, wanted, ["di", "dh"])[0].join(wanted, ["di", "dh"]).dropDuplicates(["di", "dh"]).select("body")
-    sets = store(texts.mapInArrow(make, "node long, s binary"), "sets")
+    sets = store(texts.mapInArrow(freed(make), "node long, s binary"), "sets")
     full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return store(full.mapInArrow(check, "a long, b long"), "links")
+    return store(full.mapInArrow(freed(check), "a long, b long"), "links")
 
 
 def near_copies(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -277,7 +277,7 @@ def near_copies(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             parts += [pa.array([simprint(s).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(parts, names=["id", "di", "dh", "node", "n", "fp", "sk"])
 
-    prints = store(rows.mapInArrow(make, "id long, di long, dh long, node long, n int, fp binary, sk array<long>"), "prints")
+    prints = store(rows.mapInArrow(freed(make), "id long, di long, dh long, node long, n int, fp binary, sk array<long>"), "prints")
     nodes = store(prints.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "sk")]), "nodes")
     forest = Forest(nodes)
     leads = forest.leads(nodes)

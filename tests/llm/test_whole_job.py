@@ -270,3 +270,23 @@ def test_recall_of_the_radius_and_the_tree():
             shards[k].add(shard)
     assert len(want) > 300 and want <= found and len(tree) > 3
     assert all(shards[a] & shards[b] for a, b in want)
+
+
+def test_python_tasks_give_their_memory_back():
+    from millrace.llm.common import freed
+
+    def held_mb():
+        with open("/proc/self/smaps_rollup") as file:
+            return next(int(x.split()[1]) for x in file if x.startswith("Pss_Anon")) / 1024
+
+    after = []
+
+    def run(batches):
+        kept = [b"x" * 100_000 for _ in range(3000)]  # from the heap, not mapped
+        after.append(b"y" * 100_000)  # lies above them, so the heap cannot shrink by itself
+        after.append(held_mb())
+        yield from batches
+        del kept
+
+    assert list(freed(run)([1, 2])) == [1, 2]
+    assert held_mb() < after[1] - 200
