@@ -6,7 +6,7 @@ cases even at 0.8 itself. Their sizes are within a factor of 5/4 of each other.
 one of the Hamming distance and the scaled difference of the sizes' logarithms is a metric) deals every distinct set to
 shards by the triangle inequality. At this radius Hamming balls of unrelated texts all overlap, so it is the sizes by
 which the tree prunes, and within a shard sets of sizes that fit are compared all with all, in cells of two parts: the work grows
-with the square of the texts, at a few nanoseconds a pair.
+with the square of the texts, at a few nanoseconds a pair. Parts are ranges of sizes, so a set is dealt only to cells where a size fits.
 
 Every set that has others within the radius is first checked against the least of them; only those that are then still in
 different components are checked with each other, so a large group of near copies costs no square of exact checks. A pair is
@@ -37,7 +37,7 @@ WORDS, SMALL = 4, 16
 CLOSE = ((54, 90), (50, 80))
 #: The tree's radius; points it is grown on; those of a leaf; the part of a node's square below which a split pays.
 RADIUS, SAMPLE, LEAF, WORTH = 90, 4096, 16, 0.85
-#: Sets of a part of a shard, and parts of a shard at most (parts grow beyond them, so that a set goes to no more cells).
+#: Sets of a part of a shard, and parts of a shard (parts grow beyond them, so that a set goes to no more cells).
 PART, MOST_PARTS = 1 << 14, 32
 #: Rows and columns that are compared at once.
 ROWS, COLS = 64, 2048
@@ -123,6 +123,33 @@ def near_blocks(n, prints, n2, prints2, same):
             yield i[held], j[held]
 
 
+def by_size(steps: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parts of a shard: ranges of size steps of at most PART sets each (or an even share for MOST_PARTS); a step of more has several parts.
+
+    steps ascend; m: sets of a step; low and high: its sizes. Returns steps, the first part of each and how many it has; low and high of each part.
+    """
+    most = max(PART, -(-int(m.sum()) // MOST_PARTS))
+    first, among, lows, highs, room = [], [], [], [], 0
+    for own, least, largest in zip(m.tolist(), low.tolist(), high.tolist()):
+        if own <= room:
+            room -= own
+            highs[-1] = largest
+            first.append(len(lows) - 1)
+            among.append(1)
+        else:
+            among.append(-(-own // most))
+            first.append(len(lows))
+            lows += [least] * among[-1]
+            highs += [largest] * among[-1]
+            room = most - own if own <= most else 0
+    return steps, *[np.array(x, np.int64) for x in (first, among, lows, highs)]
+
+
+def fitting(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first part that has a size that fits n, and the one after the last; low and high of the parts ascend."""
+    return np.searchsorted(high * DEN, n * NUM), np.searchsorted(low * NUM, n * DEN, "right")
+
+
 class Forest:
     """A vantage-point tree over sets' fingerprints and sizes; its shards are compared in cells of two parts of a shard."""
 
@@ -135,34 +162,50 @@ class Forest:
         self.tree = grow_tree(sample, RADIUS + 1e-6, LEAF, apart, WORTH)
 
     def _cells(self, nodes: DataFrame) -> DataFrame:
-        """A row of nodes for each cell (shard, i, j) that it belongs to, with its part. Any two within RADIUS meet in a cell."""
+        """A row of nodes for each cell (shard, i, j) that it belongs to, with its part. Any two within RADIUS whose sizes fit meet in a cell of a shard.
+
+        A shard's parts are ranges of sizes, and a set goes only to the cells of its part with parts that have a size that fits its own.
+        """
         tree, names = self.tree, nodes.columns
 
         def routed(batch):
+            """Sizes, their steps, and the shards with their rows."""
             n, prints = batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64)
-            return route(points_of(n, prints.reshape(-1, WORDS)), tree, RADIUS + 1e-6, apart)
+            points = points_of(n, prints.reshape(-1, WORDS))
+            return n.astype(np.int64), points["size"].astype(np.int64), route(points, tree, RADIUS + 1e-6, apart)
 
         def count(batches):
             for batch in batches:
-                for shard, rows in routed(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)], pa.int64())], names=["shard", "m"])
-
-        held = nodes.select("n", "fp").mapInArrow(freed(count), "shard int, m long").groupBy("shard").agg(F.sum("m")).collect()
-        parts = {shard: min(MOST_PARTS, -(-m // PART)) for shard, m in held}
+                n, step, shards = routed(batch)
+                for shard, rows in shards:
+                    rows = rows[np.argsort(n[rows])]
+                    steps, first, m = np.unique(step[rows], return_index=True, return_counts=True)
+                    columns = [np.full(len(steps), shard), steps, m, n[rows][first], n[rows][first + m - 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "step", "m", "low", "high"])
+
+        counted = nodes.select("n", "fp").mapInArrow(freed(count), "shard long, step long, m long, low long, high long")
+        held: dict[int, list] = {}
+        for shard, *row in sorted(map(tuple, counted.groupBy("shard", "step").agg(F.sum("m"), F.min("low"), F.max("high")).collect())):
+            held.setdefault(shard, []).append(row)
+        parts = {shard: by_size(*np.array(rows, np.int64).T) for shard, rows in held.items()}
 
         def deal(batches):
             for batch in batches:
-                node = batch.column("node").to_numpy()
-                for shard, rows in routed(batch):
-                    g = parts[shard]
-                    part = (node[rows].view(np.uint64) >> np.uint64(20)) % np.uint64(g)
-                    taken = batch.take(pa.array(rows))
-                    for k in range(g):
-                        cell = [np.full(len(rows), shard, np.int32), np.minimum(part, k).astype(np.int32), np.maximum(part, k).astype(np.int32), part.astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cell), *taken.columns], names=["shard", "i", "j", "part", *names])
+                node, (n, step, shards) = batch.column("node").to_numpy(), routed(batch)
+                for shard, rows in shards:
+                    steps, first, among, low, high = parts[shard]
+                    at = np.searchsorted(steps, step[rows])
+                    part = first[at] + ((node[rows].view(np.uint64) >> np.uint64(20)) % among[at].astype(np.uint64)).astype(np.int64)
+                    least, end = fitting(n[rows], low, high)
+                    for k in range(int((end - least).max())):
+                        own = np.nonzero(least + k < end)[0]
+                        other = least[own] + k
+                        cell = [np.full(len(own), shard), np.minimum(part[own], other), np.maximum(part[own], other), part[own]]
+                        columns = batch.take(pa.array(rows[own])).columns
+                        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cell], *columns], names=["shard", "i", "j", "part", *names])
 
         dealt = nodes.mapInArrow(freed(deal), "shard int, i int, j int, part int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
-        cells = sum(g * (g + 1) // 2 for g in parts.values())
+        cells = sum(int((fitting(high, low, high)[1] - np.arange(len(high))).sum()) for *_, low, high in parts.values())
         return dealt.repartition(max(1, min(4096, cells)), "shard", "i", "j").groupBy("shard", "i", "j")
 
     def leads(self, nodes: DataFrame) -> DataFrame:

@@ -290,3 +290,28 @@ def test_python_tasks_give_their_memory_back():
 
     assert list(freed(run)([1, 2])) == [1, 2]
     assert held_mb() < after[1] - 200
+
+
+def test_near_dedup_deals_sets_only_where_a_size_fits(spark, monkeypatch):
+    """Any two sets of a shard whose sizes fit meet in one cell, others' cells are not dealt to; sizes that very many have are dealt by hash."""
+    monkeypatch.setattr(near_copies, "PART", 64)
+    rng = np.random.default_rng(3)
+    n = np.concatenate([np.exp(rng.uniform(2, 6, 900)).astype(int), np.full(300, 40), [1, 1, 2]])
+    rows = [(int(x), int(k), rng.bytes(32)) for x, k in zip(rng.integers(-(1 << 62), 1 << 62, len(n)), n)]
+    nodes = spark.createDataFrame(rows, "node long, n int, fp binary")
+    forest = near_copies.Forest(nodes)
+    size, cells, shards, dealt = {x: k for x, k, _ in rows}, {}, {}, 0
+    told = forest._cells(nodes).applyInArrow(lambda t: t.select(["shard", "i", "j", "part", "node"]), "shard int, i int, j int, part int, node long")
+    for shard, i, j, part, node in told.collect():
+        assert part in (i, j)
+        cells.setdefault((shard, i, j), ([], []))[part != i].append(node)
+        shards.setdefault(shard, set()).add(node)
+        dealt += 1
+    met = {}
+    for (shard, i, j), (one, two) in cells.items():
+        assert max(len(one), len(two)) <= 96  # 64, but for the hash
+        for a, b in ((a, b) for a in one for b in (two if i != j else one) if a != b):
+            met.setdefault((shard, min(a, b), max(a, b)), set()).add((i, j))
+    fit = {(s, a, b) for s, own in shards.items() for a in own for b in own if a < b and 5 * size[a] >= 4 * size[b] and 5 * size[b] >= 4 * size[a]}
+    assert len(fit) > 50_000 and fit <= met.keys() and all(len(met[x]) == 1 for x in fit)
+    assert dealt < 0.75 * sum(len(own) * -(-len(own) // 64) for own in shards.values())  # every part of the shard, as before
