@@ -148,6 +148,15 @@ def saturated(times: np.ndarray, lengths: np.ndarray, mean: float) -> np.ndarray
     return times * (K1 + 1) / (times + K1 * (1 - B + B * lengths / max(mean, 1e-9)))
 
 
+def squeezed(tokens: bytes) -> bytes:
+    """Token ids as they stand in the index: entropy-coded, which neither the table's nor the shuffle's own compression does."""
+    return pa.Codec("zstd", compression_level=3).compress(tokens, asbytes=True)
+
+
+def unsqueezed(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 2 * n, codec="zstd"), np.uint16)
+
+
 def best_of(number: np.ndarray, seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the best answers of each seed, most at most (number: its document), best first, and their ranks.
 
@@ -279,7 +288,9 @@ def _write_index(rows: DataFrame, router, vocabulary: str, shard_bytes: int) ->
             seeds = [k for k, r in enumerate(own) if r[0] is not None and r[0] % SEED_EVERY == 0]
             at = np.cumsum([0] + [len(own[k][2]) for k in seeds])
             told = np.concatenate([own[k][2] for k in seeds]) if seeds else np.zeros(0)
-            values = [[number + made], [[r[0] for r in own]], [keys], *[[x.tobytes()] for x in make_shard(own, encode).values()]]
+            arrays = {c: x.tobytes() for c, x in make_shard(own, encode).items()}
+            arrays["tokens"] = squeezed(arrays["tokens"])
+            values = [[number + made], [[r[0] for r in own]], [keys], *[[x] for x in arrays.values()]]
             asks = [router.value.asked(own[k][2]) for k in seeds]
             values += [[cluster], *[[np.array(x, np.int32).tobytes()] for x in (seeds, at, told, asks)]]
             made += 1
@@ -413,9 +424,11 @@ class Library:
         asks = held["asks"].to_numpy() if not everywhere else np.full(len(number), -1, np.int32)
         asked = context.broadcast((number, asks, at, np.frombuffer(b"".join(terms), np.int32)))
         columns = ["lengths", "terms", "first", "docs", "times"]
-        found = "part int, seed binary, doc binary, score binary"
+        kinds = {"seed": np.int32, "doc": np.int64, "score": np.int32}
+
+        def search(index, unused, bounds, told):
+            """told: which of kinds are wanted, in blobs for each group of seeds."""
 
-        def search(index, unused, bounds):
             def run(batches):
                 work = Search(*asked.value, bounds.value, idf.value, mean, most)
                 for batch in batches:
@@ -424,18 +437,26 @@ class Library:
                             arrays = [np.frombuffer(x, _INDEX[c]) for x, c in zip(parts, columns)]
                             live = np.unpackbits(np.frombuffer(unused.value[shard], np.uint8), count=len(arrays[0])).astype(bool)
                             work.add(shard, cluster, live, *arrays)
-                seed, doc, score = work.cut()
-                part = seed // SEED_GROUP
+                answers = dict(zip(kinds, work.cut()))
+                part = answers["seed"] // SEED_GROUP
                 edges = np.searchsorted(part, np.arange(int(part.max(initial=-1)) + 2))
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     if b > a:
-                        blobs = [planes(x[a:b].astype(t)) for x, t in ((seed, np.int32), (doc, np.int64), (score, np.int32))]
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "seed", "doc", "score"])
+                        blobs = [planes(answers[c][a:b].astype(kinds[c])) for c in told]
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", *told])
+
+            return index.select("shard", "cluster", *columns).mapInArrow(freed(run), "part int, " + ", ".join(f"{c} binary" for c in told))
 
-            return index.select("shard", "cluster", *columns).mapInArrow(freed(run), found)
+        def last(table: pa.Table) -> pa.Table:
+            """The score of each seed's most-th best answer, where there are so many."""
+            seed, score = [of_planes(table[c].to_pylist(), kinds[c]) for c in ("seed", "score")]
+            order = np.lexsort((-score, seed))
+            seed, score = seed[order], score[order]
+            at = np.nonzero(np.arange(len(seed)) - np.searchsorted(seed, seed) == most - 1)[0]
+            return pa.table([pa.array(asked.value[0][seed[at]], pa.int64()), pa.array(score[at], pa.int32())], names=["seed", "score"])
 
         def merge(table: pa.Table) -> pa.Table:
-            seed, doc, score = [of_planes(table[c].to_pylist(), t) for c, t in (("seed", np.int32), ("doc", np.int64), ("score", np.int32))]
+            seed, doc, score = [of_planes(table[c].to_pylist(), t) for c, t in kinds.items()]
             best, rank = best_of(asked.value[0], seed, doc, score, most)
             told = pa.table([pa.array(asked.value[0][seed[best]]), pa.array(doc[best]), pa.array(rank.astype(np.int32)), pa.array(score[best])], names=["seed", "doc", "rank", "score"])
             del seed, doc, score, best, rank
@@ -446,14 +467,14 @@ class Library:
         bound = np.zeros(len(number), np.int32)
         few = F.pmod(F.xxhash64("shard", F.lit(13)), F.lit(SAMPLED_SHARDS)) == 0
         free = context.broadcast(bound)
-        first = [search(self.index.where(c & few), u, free) for c, u in marks]
+        first = [search(self.index.where(c & few), u, free, ["seed", "score"]) for c, u in marks]
         least = first[0]
         for other in first[1:]:
             least = least.unionAll(other)
-        least = least.groupBy("part").applyInArrow(merge, merged).where(F.col("rank") == most - 1).select("seed", "score").toArrow()
+        least = least.groupBy("part").applyInArrow(last, "seed long, score int").toArrow()
         bound[np.searchsorted(number, least["seed"].to_numpy())] = least["score"].to_numpy()
         bounds = context.broadcast(bound)
-        whole = [search(self.index.where(c), u, bounds) for c, u in marks]
+        whole = [search(self.index.where(c), u, bounds, list(kinds)) for c, u in marks]
         out = whole[0]
         for other in whole[1:]:
             out = out.unionAll(other)
@@ -539,7 +560,8 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", vocabulary="byte_bpe_5
 
     def emit(places: pa.Table, texts: pa.Table) -> pa.Table:
         ids = texts["ids"][0].as_py()
-        sizes, tokens = np.frombuffer(texts["sizes"][0].as_py(), np.int32), np.frombuffer(texts["tokens"][0].as_py(), np.uint16)
+        sizes = np.frombuffer(texts["sizes"][0].as_py(), np.int32)
+        tokens = unsqueezed(texts["tokens"][0].as_py(), int(sizes.sum(dtype=np.int64)))
         start_of = np.cumsum(sizes, dtype=np.int64) - sizes
         doc, start, length = [places[c].to_numpy() for c in ("doc", "start", "length")]
         wide = tokens.astype("<u4").tobytes()

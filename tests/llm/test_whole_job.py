@@ -315,3 +315,24 @@ def test_near_dedup_deals_sets_only_where_a_size_fits(spark, monkeypatch):
     fit = {(s, a, b) for s, own in shards.items() for a in own for b in own if a < b and 5 * size[a] >= 4 * size[b] and 5 * size[b] >= 4 * size[a]}
     assert len(fit) > 50_000 and fit <= met.keys() and all(len(met[x]) == 1 for x in fit)
     assert dealt < 0.75 * sum(len(own) * -(-len(own) // 64) for own in shards.values())  # every part of the shard, as before
+
+
+def test_packing_ships_no_more_than_it_needs(spark, monkeypatch):
+    """The search for bounds sends scores without documents, and token ids are entropy-coded; what is packed stays the same."""
+    frame = type(spark.range(0))
+    sent, run = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema, *more: (sent.append(schema), run(df, f, schema, *more))[1])
+    texts = topical(300, 40)
+    library = bm25_pack.Library(bm25_pack.id_and_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"), "byte_bpe_50k.json", neighbours=8, shard_bytes=2000)
+    seeds = library.seeds()
+    marks = library.marks(library.texts.where("not is_seed").select("doc"))
+    told = library.answers(seeds, 0, marks, True).toPandas()
+    assert [x for x in sent if "score" in x] == ["part int, seed binary, score binary", "part int, seed binary, doc binary, score binary"]
+    of = told.sort_values(["seed", "rank"]).groupby("seed")["score"].apply(list)
+    assert len(of) == 15 and all(len(x) == 8 and x == sorted(x, reverse=True) for x in of)
+    monkeypatch.setattr(bm25_pack, "SAMPLED_SHARDS", 1 << 30)  # no bound
+    assert set(map(tuple, library.answers(seeds, 0, marks, True).toPandas().values)) == set(map(tuple, told.values))
+    for row in library.index.select("sizes", "tokens").collect():
+        n = int(np.frombuffer(row["sizes"], np.int32).sum())
+        assert len(bm25_pack.unsqueezed(row["tokens"], n)) == n
+    assert sum(len(r["tokens"]) for r in library.index.select("tokens").collect()) < 2 * library.texts.groupBy().sum("size").first()[0]
