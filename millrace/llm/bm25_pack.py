@@ -8,9 +8,9 @@ with a seed; those few follow each other. A seed and what it took, in the order
 the last tokens of a chain become sequences whose lengths are powers of two, so nothing is padded.
 
 A map over the input writes the index: a row for each shard of bounded size with its postings and token ids, so texts are
-read once. Shards hold texts of one lexical cluster (centres are learned from a bounded sample, every text is dealt). A seed
+read once; equal words of some MB of texts are encoded once. Shards hold texts of one lexical cluster (centres are learned from a bounded sample, every text is dealt). A seed
 asks the shards of all clusters whose centre is at least NEAR_CENTRE times as near as the nearest one (recall against all
-shards is measured in the tests); texts that no seed takes so are asked for everywhere. Frequent terms of a shard are scored by a matrix product, the others by their postings.
+shards is measured in the tests); texts that no seed takes so are asked for everywhere. A task scores its shards of a cluster together, frequent terms by a matrix product, the others by their postings.
 Equal texts are one text in the index, and its copies follow it, or, where they are many, form chains of their own by shard.
 
 The scored pairs are at most the square of the texts divided by SEED_EVERY.
@@ -49,7 +49,13 @@ FEW_COPIES = 32
 #: Scores are compared in steps of one part in so many.
 STEPS = 64
 #: Seeds that one group of the merged answers holds, scores in memory at once, answers held before they are cut (or half as many again as the last cut left).
-SEED_GROUP, CELLS, HELD = 512, 1 << 19, 1 << 20
+SEED_GROUP, CELLS, HELD = 512, 1 << 20, 1 << 20
+#: Unused texts of a cluster that are scored together, postings that wait for that in a task, partitions of the index that a task reads.
+JOINED, WAITING, READ_AT_ONCE = 4096, 1 << 21, 2
+#: A term is frequent if one text in so many has it; postings that are added to scores at once.
+HOT_PART, TOUCHED = 25, 1 << 15
+#: Bytes of texts whose equal segments are encoded once; bytes of texts whose ids are put together at once.
+CHUNK_BYTES, PART_BYTES = 1 << 21, 1 << 19
 #: Fixed value: the pattern that cuts a text before byte-pair merging in this public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -66,8 +72,8 @@ def _byte_of() -> dict[str, int]:
     return out | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-def encoder(name: str):
-    """text -> uint16 token ids, as tokenizers gives them for the vocabulary file name."""
+def vocabulary_of(name: str) -> tuple:
+    """Of a vocabulary file: tiktoken's encoding, one for texts whose white space stands alone between other characters, and the bytes of each id."""
     if name not in _loaded:
         import public_tokenizers
         import tiktoken
@@ -79,8 +85,16 @@ def encoder(name: str):
         if merged != sorted(merged):  # ids serve as ranks, which is right only in this order
             raise ValueError(f"{name}: token ids do not follow the order of merges")
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and i != 50256}
-        _loaded[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = _loaded[name]
+        width = np.zeros(1 << 16, np.int64)
+        width[list(ranks.values())] = list(map(len, ranks))
+        of = [tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, PATTERN.replace(r"|\s+(?!\S)", ""))]
+        _loaded[name] = (*of, width)
+    return _loaded[name]
+
+
+def encoder(name: str):
+    """text -> uint16 token ids, as tokenizers gives them for the vocabulary file name."""
+    whole = vocabulary_of(name)[0]
 
     def encode(text: str) -> np.ndarray:
         return whole.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
@@ -98,6 +112,116 @@ def terms_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found[edges[:-1]].astype(np.int32), np.diff(edges)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from starts[k] on, sizes[k] (1 or more) of them, for each k in turn."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    end = np.cumsum(sizes)
+    out = np.ones(end[-1], np.int64)
+    out[0] = starts[0]
+    out[end[:-1]] = starts[1:] - (starts[:-1] + sizes[:-1] - 1)
+    return np.cumsum(out, out=out)
+
+
+def _solid() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that surely end, or begin, a character that is no white space, in Unicode's sense."""
+    last, first = np.arange(256) > 32, np.arange(256) > 32
+    for c in _WIDE:
+        last[c[-1]] = first[c[0]] = False
+    return last, first
+
+
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]  # white space of two or three bytes
+_LAST, _FIRST = _solid()
+
+
+def _is_wide(data: np.ndarray) -> np.ndarray:
+    """Bytes that begin one of _WIDE."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(data >= 0xC2)
+    at = at[~_FIRST[data[at]]]
+    one, two, three = (np.take(data, at + k, mode="clip").astype(np.int32) if len(data) else at for k in range(3))
+    out[at] = np.isin(one << 8 | two, [int.from_bytes(c) for c in _WIDE if len(c) == 2]) | np.isin(one << 16 | two << 8 | three, [int.from_bytes(c) for c in _WIDE if len(c) == 3])
+    return out
+
+
+def segments(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Edges of segments of the texts that lie between edges in data; an empty segment ends each text.
+
+    A text is cut before single spaces and line ends between other characters. PATTERN cuts there whatever stands around, and words end
+    there, so ids and terms of a text are those of its segments, one after the other.
+    """
+    space = np.flatnonzero((data == 32) | (data == 10))
+    begins = np.zeros(len(data) + 1, bool)
+    begins[edges] = True
+    space = space[~begins[space]]
+    space = space[_LAST[data[space - 1]] & _FIRST[data[np.minimum(space + 1, len(data) - 1)]]]
+    ends = edges[1:]
+    out = np.concatenate([edges[:1], space, ends, ends[np.diff(edges) > 0]])
+    out.sort()
+    return out
+
+
+def _learned(data: np.ndarray, edges: np.ndarray, vocabulary: str) -> tuple[np.ndarray, ...]:
+    """Tokens of the distinct segments between edges, where those of each begin and how many there are; the same of terms."""
+    whole, plain, width = vocabulary_of(vocabulary)
+    sizes = np.diff(edges)
+    white = np.append(0, np.cumsum((data <= 32) | _is_wide(data)))[edges]
+    regular = (sizes > 1) & (np.diff(white) == 1)  # white space, then none: these can be encoded one after the other
+    at = edges[:-1][regular]
+    regular[regular] = ((data[at] == 32) | (data[at] == 10)) & _FIRST[data[at + 1]] & _LAST[data[at + sizes[regular] - 1]]
+    joined = data[np.repeat(regular, sizes)].tobytes()
+    try:
+        text = joined.decode()
+    except UnicodeDecodeError:
+        regular[:], joined, text = False, b"", ""
+    tokens = plain.encode_to_numpy(text, disallowed_special=()).astype(np.uint16) if text else np.zeros(0, np.uint16)
+    words = joined.lower().split()
+    terms = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & np.uint32(TERMS - 1)
+    token_at, term_at = (np.zeros(len(sizes), np.int64) for _ in range(2))
+    n_tokens, n_terms = (np.zeros(len(sizes), np.int64) for _ in range(2))
+    ends = np.append(0, np.searchsorted(np.cumsum(width[tokens]), np.cumsum(sizes[regular]), "right"))
+    token_at[regular], n_tokens[regular] = ends[:-1], np.diff(ends)
+    term_at[regular], n_terms[regular] = np.arange(len(terms)), 1
+    others = np.flatnonzero(~regular)
+    bodies = [data[edges[k] : edges[k + 1]].tobytes() for k in others.tolist()]
+    ids = [whole.encode_ordinary(b.decode("utf-8", "replace")) if b else [0] for b in bodies]
+    words = [b.lower().split() for b in bodies]
+    for at, n, own, flat in ((token_at, n_tokens, ids, tokens), (term_at, n_terms, words, terms)):
+        n[others] = np.fromiter(map(len, own), np.int64, len(own))
+        at[others] = len(flat) + np.cumsum(n[others]) - n[others]
+    tokens = np.append(tokens, np.array([i for x in ids for i in x], np.uint16))
+    terms = np.append(terms, np.array([zlib.crc32(w) & (TERMS - 1) for x in words for w in x], np.uint32))
+    return tokens, token_at, n_tokens, terms, term_at, n_terms
+
+
+def encoded(data: np.ndarray, edges: np.ndarray, vocabulary: str):
+    """For some of the texts between edges at a time, their tokens and their edges; terms (distinct and ascending within a text), how often each
+    stands there, and their edges."""
+    at = segments(data, edges)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    last = np.flatnonzero(np.diff(at) == 0)  # one for each text
+    number, (_, offsets, values) = found.indices.to_numpy(), found.dictionary.buffers()
+    del at
+    known = _learned(np.frombuffer(values or b"", np.uint8), np.frombuffer(offsets, np.int64)[: len(found.dictionary) + 1], vocabulary)
+    a = 0
+    while a < len(last):
+        b = min(max(a + 1, int(np.searchsorted(edges, edges[a] + PART_BYTES, "right")) - 1), a + SHARD_DOCS, len(last))
+        own = number[last[a - 1] + 1 if a else 0 : last[b - 1] + 1]
+        text_at, out = last[a:b] - (last[a - 1] + 1 if a else 0), []
+        for flat, first, sizes in (known[:3], known[3:]):
+            n = sizes[own]
+            some = n > 0
+            out += [flat[ranges(first[own[some]], n[some])], np.append(0, np.cumsum(n)[text_at])]
+        tokens, token_at, terms, term_at = out
+        keys = terms | np.repeat(np.arange(b - a, dtype=np.uint32) << np.uint32(18), np.diff(term_at))
+        keys.sort()
+        new = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+        times, keys = np.diff(np.append(new, len(keys))), keys[new]
+        yield tokens, token_at, (keys & np.uint32(TERMS - 1)).astype(np.int32), times, np.searchsorted(keys >> np.uint32(18), np.arange(b - a + 1))
+        a = b
+
+
 class Router:
     """Lexical clusters of texts: unit vectors of the sample's most frequent terms, grouped by their nearest centre."""
 
@@ -126,21 +250,34 @@ class Router:
         own = self.column[terms]
         return self.weights[own[own >= 0]].sum(0)
 
+    def nearest(self, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The cluster of each text; at: edges of their terms."""
+        out = np.zeros(len(at) - 1, np.int64)
+        for a in range(0, len(out), 256):
+            edges = at[a : a + 257]
+            own = self.column[terms[edges[0] : edges[-1]]]
+            text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            x = np.zeros((len(edges) - 1, len(self.weights)), np.float32)
+            x[text[own >= 0], own[own >= 0]] = 1
+            out[a : a + 256] = (x @ self.weights).argmax(1)
+        return out
+
     def asked(self, terms: np.ndarray) -> int:
         """The clusters that a seed asks, a bit each."""
         near = self.nearness(terms)
         return sum(1 << k for k in np.nonzero(near >= self.near * near.max())[0].tolist())
 
 
-def make_shard(rows: list[tuple], encode) -> dict[str, np.ndarray]:
-    """rows (id, body, terms, times) -> the arrays of a shard (_INDEX): postings by term, then by document."""
-    tokens = [np.append(encode(b.decode("utf-8", "replace")), np.uint16(0)) for _, b, _, _ in rows]
-    term, times = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    order = np.argsort(term, kind="stable")
-    terms, first = np.unique(term[order], return_index=True)
-    parts = {"sizes": [len(t) for t in tokens], "tokens": np.concatenate(tokens), "lengths": [r[3].sum() for r in rows]}
-    parts |= {"terms": terms, "first": np.append(first, len(order)), "docs": doc[order], "times": np.minimum(times[order], 65535)}
+def make_shard(rows: list[tuple]) -> dict[str, np.ndarray]:
+    """rows (tokens, terms, times) -> the arrays of a shard (_INDEX): postings by term, then by document."""
+    tokens, terms, times = zip(*rows)
+    doc = np.repeat(np.arange(len(rows), dtype=np.uint64), [len(t) for t in terms])
+    keys = np.concatenate(terms).astype(np.uint64) << np.uint64(30) | doc << np.uint64(16) | np.minimum(np.concatenate(times), 65535).astype(np.uint64)
+    keys.sort()
+    term = (keys >> np.uint64(30)).astype(np.int32)
+    terms, first = np.unique(term, return_index=True)
+    parts = {"sizes": [len(t) for t in tokens], "tokens": np.concatenate(tokens), "lengths": [t.sum() for t in times]}
+    parts |= {"terms": terms, "first": np.append(first, len(term)), "docs": keys >> np.uint64(16) & np.uint64(SHARD_DOCS - 1), "times": keys & np.uint64(65535)}
     return {k: np.asarray(parts[k]).astype(kind) for k, kind in _INDEX.items()}
 
 
@@ -184,63 +321,96 @@ def of_planes(blobs: list[bytes], kind) -> np.ndarray:
 
 
 class Search:
-    """Answers of shards to a block of seeds, one shard after the other, cut to the best ones of each seed."""
+    """Answers of shards to a block of seeds, cut to the best ones of each seed; shards of a cluster are scored together."""
 
     def __init__(self, number: np.ndarray, clusters: np.ndarray, at: np.ndarray, terms: np.ndarray, bound: np.ndarray, idf: np.ndarray, mean: float, most: int):
         self.number, self.clusters, self.at, self.terms, self.idf, self.mean, self.most = number, clusters, at, terms, idf, mean, most
         self.bound = bound.copy()  # a seed's answers below it are no longer asked for
+        self.wanted = np.zeros(TERMS, bool)
+        self.wanted[terms] = True
         self.found: list = []
         self.size = self.left = 0
+        self.waiting: dict[int, list] = {}
 
     def add(self, shard: int, cluster: int, live: np.ndarray, lengths, terms, first, docs, times) -> None:
         """live: which documents of the shard are unused."""
-        n, asked = int(live.sum()), np.nonzero(self.clusters >> cluster & 1)[0]
-        if not n or not len(asked):
+        if not live.any() or not (self.clusters >> cluster & 1).any():
             return
-        back = np.nonzero(live)[0]
-        use = live[docs]
-        first = np.append(0, np.cumsum(use))[first]
-        docs = (np.cumsum(live) - 1)[docs[use]]
-        of = np.repeat(np.arange(len(terms)), np.diff(first))
-        weights = (saturated(times[use].astype(np.float32), lengths[back][docs], self.mean) * self.idf[terms[of]]).astype(np.float32)
-        place = np.full(TERMS, -1, np.int32)
-        some = np.nonzero(np.diff(first))[0]
-        place[terms[some]] = some
-        hot = np.nonzero(np.diff(first) > max(8, n // 12))[0]
-        column = np.full(len(terms) + 1, -1, np.int32)
-        column[hot] = np.arange(len(hot))
-        dense = np.zeros((len(hot), n), np.float32)
-        is_hot = column[of] >= 0
-        dense[column[of][is_hot], docs[is_hot]] = weights[is_hot]
+        counts = np.diff(first)
+        use = live[docs] & np.repeat(self.wanted[terms], counts)
+        term, docs = np.repeat(terms, counts)[use].astype(np.uint64), docs[use]
+        weights = (saturated(times[use].astype(np.float32), lengths[docs], self.mean) * self.idf[term]).astype(np.float32)
+        own = self.waiting.setdefault(cluster, [])
+        base = sum(len(back) for back, _ in own)
+        place = (np.cumsum(live) - 1 + base).astype(np.uint64)
+        own.append(((shard << _LOCAL) + np.nonzero(live)[0], term << np.uint64(46) | place[docs] << np.uint64(31) | weights.view(np.uint32)))
+        if base + len(own[-1][0]) >= JOINED:
+            self._join(cluster)
+        elif sum(len(keys) for own in self.waiting.values() for _, keys in own) > WAITING:
+            self._join(max(self.waiting, key=lambda c: sum(len(keys) for _, keys in self.waiting[c])))
+
+    def _join(self, cluster: int) -> None:
+        """Score what waits of a cluster: documents, and 18 bits of the term, 15 of the document's place, 31 of the weight for each posting."""
+        own, asked = self.waiting.pop(cluster), np.nonzero(self.clusters >> cluster & 1)[0]
+        back, keys = np.concatenate([b for b, _ in own]), np.concatenate([k for _, k in own])
+        n = len(back)
+        keys.sort()
+        term = (keys >> np.uint64(46)).astype(np.int32)
+        docs = (keys >> np.uint64(31) & np.uint64((1 << 15) - 1)).astype(np.int64)
+        weights = (keys & np.uint64((1 << 31) - 1)).astype(np.uint32).view(np.float32)
+        del own, keys
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        terms, sizes = term[first], np.diff(np.append(first, len(term)))
+        hot = sizes > max(8, n // HOT_PART)
+        place = np.full(TERMS, -1, np.int32)  # rows of the matrix, then the other terms
+        n_hot = int(hot.sum())
+        place[terms[hot]] = np.arange(n_hot)
+        place[terms[~hot]] = np.arange(n_hot, len(terms))
+        dense = np.zeros((n_hot, n), np.float32)
+        is_hot = np.repeat(hot, sizes)
+        dense[np.repeat(np.arange(n_hot), sizes[hot]), docs[is_hot]] = weights[is_hot]
         step = max(1, CELLS // n)
         for a in range(0, len(asked), step):
-            self._score(shard, asked[a : a + step], back, place, column, dense, first, docs, weights)
+            self._score(asked[a : a + step], back, place, dense, first[~hot], sizes[~hot], docs, weights)
         if self.size > max(HELD, self.left + self.left // 2):
             self.cut()
 
-    def _score(self, shard, seeds, back, place, column, dense, first, docs, weights) -> None:
+    def _score(self, seeds, back, place, dense, first, sizes, docs, weights) -> None:
         n, counts = len(back), np.diff(self.at)[seeds]
-        flat = np.arange(counts.sum()) + np.repeat(self.at[seeds] - (np.cumsum(counts) - counts), counts)
-        row, term = np.repeat(np.arange(len(seeds)), counts), place[self.terms[flat]]
-        row, term = row[term >= 0], term[term >= 0]
-        col = column[term]
+        some = counts > 0
+        term = place[self.terms[ranges(self.at[seeds[some]], counts[some])]]
+        row = np.repeat(np.arange(len(seeds)), counts)
         query = np.zeros((len(seeds), len(dense)), np.float32)
-        query[row[col >= 0], col[col >= 0]] = 1
+        is_hot = (term >= 0) & (term < len(dense))
+        query[row[is_hot], term[is_hot]] = 1
         scores = query @ dense
-        row, term = row[col < 0], term[col < 0]
-        sizes = first[term + 1] - first[term]
-        where = np.arange(sizes.sum()) + np.repeat(first[term] - (np.cumsum(sizes) - sizes), sizes)
-        np.add.at(scores.reshape(-1), docs.take(where) + np.repeat(row * n, sizes), weights.take(where))
+        rest = term >= len(dense)
+        row, term = row[rest], term[rest] - len(dense)
+        start, size, cell = first[term], sizes[term], scores.reshape(-1)
+        edges = np.append(0, np.cumsum(size))
+        cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, edges[-1], TOUCHED)), len(size)))
+        for a, b in zip(cuts, cuts[1:]):
+            where = ranges(start[a:b], size[a:b])
+            new = np.append(a, a + 1 + np.flatnonzero(np.diff(row[a:b])))
+            at = np.repeat(row[new] * n, np.diff(np.append(edges[new], edges[b])))
+            at += docs.take(where)
+            np.add.at(cell, at, weights.take(where))
         least = np.maximum(1e-6, (self.bound[seeds] - 0.5) / STEPS).astype(np.float32)
         flat = np.flatnonzero(scores >= least[:, None])
-        if n > self.most and len(flat) > 4 * self.most * len(seeds):  # no bound yet: only the best ones of this shard
+        if n > self.most and len(flat) > 4 * self.most * len(seeds):  # no bound yet: only the best ones of these shards
             worst = np.partition(scores, n - self.most, axis=1)[:, n - self.most] - 1 / STEPS
             flat = np.flatnonzero(scores >= np.maximum(least, worst)[:, None])
         i, j = np.divmod(flat, n)
-        steps = np.floor(scores.reshape(-1)[flat] * STEPS + 0.5).astype(np.int32)
-        self.found.append((seeds[i].astype(np.int32), (shard << _LOCAL) + back[j].astype(np.int64), steps))
+        steps = np.floor(cell[flat] * STEPS + 0.5).astype(np.int32)
+        self.found.append((seeds[i].astype(np.int32), back[j], steps))
         self.size += len(i)
 
+    def best(self) -> tuple[np.ndarray, ...]:
+        """What cut() gives when all shards are in."""
+        for cluster in sorted(self.waiting):
+            self._join(cluster)
+        return self.cut()
+
     def cut(self) -> tuple[np.ndarray, ...]:
         """The best answers so far (seed, document, score); raises the bounds."""
         seed, doc, score = [np.concatenate([f[k] for f in self.found]) if self.found else np.zeros(0, np.int64) for k in range(3)]
@@ -268,12 +438,24 @@ def cut_chain(sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, at - (end - sizes)[doc], length, sequence, at - cuts[sequence]
 
 
+def _chunks(batch: pa.RecordBatch):
+    """(ids, bytes of texts, edges of each) of some rows of a batch (id, body) at a time; a null body is empty."""
+    ids, body = batch.column(0).to_pylist(), batch.column(1).fill_null(b"").cast(pa.large_binary())
+    edges = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+    data = np.frombuffer(body.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(ids):
+        b = min(max(a + 1, int(np.searchsorted(edges, edges[a] + CHUNK_BYTES, "right")) - 1), len(ids))
+        yield ids[a:b], data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+        a = b
+
+
 def _write_index(rows: DataFrame, router, vocabulary: str, shard_bytes: int) -> DataFrame:
     """rows (id, body) -> a written table with a row for each shard."""
     kinds = "shard long, ids array<long>, keys binary, " + ", ".join(f"{c} binary" for c in _INDEX) + ", cluster int, seeds binary, seed_at binary, seed_terms binary, seed_asks binary"
 
     def build(batches):
-        encode, number = encoder(vocabulary), TaskContext.get().partitionId() << 10
+        number = TaskContext.get().partitionId() << 10
         open_: dict[int, list] = {}
         held: Counter = Counter()
         made = 0
@@ -284,28 +466,32 @@ def _write_index(rows: DataFrame, router, vocabulary: str, shard_bytes: int) ->
             held[cluster] = 0
             if made >> 10:
                 raise ValueError("a partition of the input has more than 1024 shards: read it in smaller ones")
-            keys = b"".join(xxhash.xxh3_128_digest(b) for _, b, _, _ in own)
+            keys = b"".join(r[1] for r in own)
             seeds = [k for k, r in enumerate(own) if r[0] is not None and r[0] % SEED_EVERY == 0]
-            at = np.cumsum([0] + [len(own[k][2]) for k in seeds])
-            told = np.concatenate([own[k][2] for k in seeds]) if seeds else np.zeros(0)
-            arrays = {c: x.tobytes() for c, x in make_shard(own, encode).items()}
+            at = np.cumsum([0] + [len(own[k][3]) for k in seeds])
+            told = np.concatenate([own[k][3] for k in seeds]) if seeds else np.zeros(0)
+            arrays = {c: x.tobytes() for c, x in make_shard([r[2:] for r in own]).items()}
             arrays["tokens"] = squeezed(arrays["tokens"])
             values = [[number + made], [[r[0] for r in own]], [keys], *[[x] for x in arrays.values()]]
-            asks = [router.value.asked(own[k][2]) for k in seeds]
+            asks = [router.value.asked(own[k][3]) for k in seeds]
             values += [[cluster], *[[np.array(x, np.int32).tobytes()] for x in (seeds, at, told, asks)]]
             made += 1
             types = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * (len(_INDEX) + 1) + [pa.int32()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in kinds.split(", ")])
 
         for batch in batches:
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                body = body or b""
-                terms, times = terms_of(body)
-                k = int(router.value.nearness(terms).argmax())
-                if k in open_ and (held[k] + len(body) > shard_bytes or len(open_[k]) == SHARD_DOCS):
-                    yield flush(k)
-                open_.setdefault(k, []).append((i, body, terms, times))
-                held[k] += len(body)
+            for ids, data, edges in _chunks(batch):
+                place = 0
+                for tokens, token_at, terms, times, term_at in encoded(data, edges, vocabulary):
+                    for d, k in enumerate(router.value.nearest(terms, term_at).tolist()):
+                        body = data[edges[place] : edges[place + 1]]
+                        if k in open_ and (held[k] + len(body) > shard_bytes or len(open_[k]) == SHARD_DOCS):
+                            yield flush(k)
+                        a, b = term_at[d], term_at[d + 1]
+                        own = (tokens[token_at[d] : token_at[d + 1]].copy(), terms[a:b].copy(), times[a:b].astype(np.int32))
+                        open_.setdefault(k, []).append((ids[place], xxhash.xxh3_128_digest(body), *own))
+                        held[k] += len(body)
+                        place += 1
         for k in sorted(open_):
             yield flush(k)
 
@@ -375,6 +561,8 @@ class Library:
         self.mean = n_words / max(1, self.docs)
         self.idf = context.broadcast(np.log1p((self.docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
         self.entries = _entries(self.index)
+        n = self.index.rdd.getNumPartitions()
+        self.tasks = max(context.defaultParallelism, -(-n // READ_AT_ONCE))  # of a search: a task that has more shards of a cluster scores them for less
         grouped = self.entries.groupBy("k1", "k2").agg(F.min("low").alias("doc"), F.sum("n").alias("n"), F.max("is_seed").alias("is_seed"), F.first("size").alias("size"))
         self.texts = store(grouped, "texts")  # a text is known by its least document
 
@@ -432,12 +620,12 @@ class Library:
             def run(batches):
                 work = Search(*asked.value, bounds.value, idf.value, mean, most)
                 for batch in batches:
-                    for shard, cluster, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                    for k, (shard, cluster) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                         if shard in unused.value:
-                            arrays = [np.frombuffer(x, _INDEX[c]) for x, c in zip(parts, columns)]
+                            arrays = [np.frombuffer(batch.column(c)[k].as_buffer(), _INDEX[c]) for c in columns]
                             live = np.unpackbits(np.frombuffer(unused.value[shard], np.uint8), count=len(arrays[0])).astype(bool)
                             work.add(shard, cluster, live, *arrays)
-                answers = dict(zip(kinds, work.cut()))
+                answers = dict(zip(kinds, work.best()))
                 part = answers["seed"] // SEED_GROUP
                 edges = np.searchsorted(part, np.arange(int(part.max(initial=-1)) + 2))
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -445,7 +633,7 @@ class Library:
                         blobs = [planes(answers[c][a:b].astype(kinds[c])) for c in told]
                         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", *told])
 
-            return index.select("shard", "cluster", *columns).mapInArrow(freed(run), "part int, " + ", ".join(f"{c} binary" for c in told))
+            return index.select("shard", "cluster", *columns).coalesce(self.tasks).mapInArrow(freed(run), "part int, " + ", ".join(f"{c} binary" for c in told))
 
         def last(table: pa.Table) -> pa.Table:
             """The score of each seed's most-th best answer, where there are so many."""

@@ -336,3 +336,65 @@ def test_packing_ships_no_more_than_it_needs(spark, monkeypatch):
         n = int(np.frombuffer(row["sizes"], np.int32).sum())
         assert len(bm25_pack.unsqueezed(row["tokens"], n)) == n
     assert sum(len(r["tokens"]) for r in library.index.select("tokens").collect()) < 2 * library.texts.groupBy().sum("size").first()[0]
+
+
+def test_equal_words_are_encoded_once():
+    """Ids and terms are those of whole texts, though only distinct words go through the tokenizer."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    odd = ["", " ", "  a", "a ", "a  b ", "it's 'he 's 12 ,, é  b", "\n\n q\n r", "A a\tA", "à  x　 　y 日本 語", "x\u0085 \u0085y", "a\x1cb c\r\nd"]
+    odd += ["".join(rng.choices([*"   ab'1!\n\r", "'s", "é", "à", "日", " ", "\u0085", " ", "　", "​", "﻿"], k=rng.randrange(40))) for _ in range(2000)]
+    bodies = [t.encode() for t in odd] + [None, b"a \xff b", b"\xc2 \xa0 \xe3\x80", b"\xe2\x80 b"] + [b" ".join(rng.choices([b"some", b"words,", b"again."], k=500)) for _ in range(100)]
+    encode, at = bm25_pack.encoder("byte_bpe_50k.json"), 0
+    whole, plain, width = bm25_pack.vocabulary_of("byte_bpe_50k.json")
+    for ids, data, edges in bm25_pack._chunks(pa.RecordBatch.from_arrays([pa.array(range(len(bodies))), pa.array(bodies, pa.binary())], names=["id", "body"])):
+        for tokens, token_at, terms, times, term_at in bm25_pack.encoded(data, edges, "byte_bpe_50k.json"):
+            for d in range(len(token_at) - 1):
+                body = bodies[at] or b""
+                assert tokens[token_at[d] : token_at[d + 1]].tolist() == [*encode(body.decode("utf-8", "replace")).tolist(), 0]
+                for got, want in zip((terms, times), bm25_pack.terms_of(body)):
+                    assert np.array_equal(got[term_at[d] : term_at[d + 1]], want)
+                at += 1
+    assert at == len(bodies)
+    data, sent = np.frombuffer(b" ".join([b"some words again"] * 1000), np.uint8), []
+
+    class Counted:
+        def encode_to_numpy(self, text, **more):
+            sent.append(text)
+            return plain.encode_to_numpy(text, **more)
+
+        def encode_ordinary(self, text):
+            sent.append(text)
+            return whole.encode_ordinary(text)
+
+    bm25_pack._loaded["counted"] = (Counted(), Counted(), width)
+    assert sum(len(x[0]) for x in bm25_pack.encoded(data, np.array([0, len(data)]), "counted")) == 1 + len(encode(data.tobytes().decode()))
+    assert sum(map(len, sent)) < 100
+
+
+def test_shards_of_a_cluster_are_scored_together(monkeypatch):
+    texts = topical(240, 40)
+    found = [bm25_pack.terms_of(t.encode()) for t in texts]
+    df = np.bincount(np.concatenate([t for t, _ in found]), minlength=bm25_pack.TERMS)
+    idf, mean = np.log1p((len(texts) - df + 0.5) / (df + 0.5)).astype(np.float32), sum(n.sum() for _, n in found) / len(found)
+    seeds, live = range(0, 240, 20), np.arange(40) % 3 > 0
+    asked = (np.array(seeds), np.ones(12, np.int32), np.cumsum([0] + [len(found[s][0]) for s in seeds]), np.concatenate([found[s][0] for s in seeds]))
+    calls, score = [], bm25_pack.Search._score
+    monkeypatch.setattr(bm25_pack.Search, "_score", lambda self, *a: (calls.append(1), score(self, *a))[1])
+
+    def told():
+        search = bm25_pack.Search(*asked, np.zeros(12, np.int32), idf, mean, 10)
+        for k in range(6):
+            arrays = bm25_pack.make_shard([(np.zeros(1, np.uint16), *found[i]) for i in range(40 * k, 40 * k + 40)])
+            search.add(k, 0, live, *[arrays[c] for c in ("lengths", "terms", "first", "docs", "times")])
+        return {(int(s), int(d)): int(x) for s, d, x in zip(*search.best())}
+
+    together, n = told(), len(calls)
+    monkeypatch.setattr(bm25_pack, "JOINED", 1)
+    apart = told()
+    assert n == 1 and len(calls) == 7 and together.keys() == apart.keys() and len(together) == 120
+    assert all(abs(together[k] - apart[k]) <= 1 for k in apart)
+    brute, bags = bm25(texts)
+    for (s, d), x in together.items():
+        assert live[d & 16383] and abs(x / bm25_pack.STEPS - brute(bags[20 * s], 40 * (d >> 14) + (d & 16383))) < 0.02
